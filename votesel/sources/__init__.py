@@ -6,6 +6,7 @@ from votesel.sources.fixtures import (  # noqa: F401
     doc_quality,
     embedding_wide,
     lineitem_band,
+    order_lines,
     order_status,
 )
 from votesel.sources.text import parse_lines, quarantine_lines, read_text_table  # noqa: F401

@@ -100,3 +100,16 @@ def band_lines(spark: SparkSession, sf_dir: str, class_first: bool = False) -> D
     cls = F.col("class")
     parts = [cls, *fields] if class_first else [*fields, cls]
     return b.select("row_id", F.concat_ws(",", *parts).alias("value"))
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items labelled by their order key: single-line orders are one-row classes
+    (input for the rare-class filter)."""
+    li = _table(spark, sf_dir, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    row_id = F.md5(F.concat_ws("|", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), cents))
+    return li.select(
+        row_id.alias("row_id"),
+        F.col("l_quantity").cast("double").alias("qty"),
+        F.col("l_orderkey").cast("string").alias("class"),
+    )
