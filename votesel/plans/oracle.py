@@ -440,3 +440,41 @@ ORACLES["one_hot"] = q(
     [BAND, "fi AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS i FROM (SELECT flag AS value, count(*) AS n FROM band GROUP BY flag))"],
     "SELECT b.row_id, CASE WHEN fi.i = 0 THEN 1.0 ELSE 0.0 END AS flag_0, CASE WHEN fi.i = 1 THEN 1.0 ELSE 0.0 END AS flag_1 FROM band b JOIN fi ON fi.value = b.flag",
 )
+
+# ------------------------------------------------------------------ ReliefF (brute force over each block)
+from votesel.plans.queries import DOC_PARTS, RELIEF_K  # noqa: E402
+
+DOC_NOM = ["lang", "source"]
+_NX = ", ".join(f"CASE WHEN mx{i} > mn{i} THEN ({c} - mn{i}) / (mx{i} - mn{i}) ELSE 0.0 END AS x{i}" for i, c in enumerate(DOC_NUM))
+_DN = " + ".join(f"abs(a.x{i} - b.x{i})" for i in range(len(DOC_NUM)))
+_DC = " + ".join(f"CASE WHEN a.{c} = b.{c} THEN 0.0 ELSE 1.0 END" for c in DOC_NOM)
+_DIFFS = ", ".join(f"abs(a.x{i} - b.x{i}) AS d{i}" for i in range(len(DOC_NUM))) + ", " + ", ".join(
+    f"CASE WHEN a.{c} = b.{c} THEN 0.0 ELSE 1.0 END AS d{len(DOC_NUM) + j}" for j, c in enumerate(DOC_NOM)
+)
+RELIEF = [
+    DOC,
+    "rtrain AS (SELECT * EXCLUDE (fold) FROM (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY row_id) - 1) % 3 AS fold FROM docs) WHERE fold <> 0)",
+    ROUNDS_CTE,
+    f"""rassign AS (SELECT r.round, (row_number() OVER (PARTITION BY r.round, t.class ORDER BY md5(concat_ws('|', {SEED}, r.round, t.row_id))) - 1) % {DOC_PARTS} AS part, t.row_id
+        FROM rtrain t CROSS JOIN rounds r)""",
+    "rrows AS (SELECT a.round, a.part, t.* FROM rassign a JOIN rtrain t USING (row_id))",
+    "rrng AS (SELECT round, part, " + ", ".join(f"min({c}) AS mn{i}, max({c}) AS mx{i}" for i, c in enumerate(DOC_NUM)) + " FROM rrows GROUP BY round, part)",
+    f"nrows AS (SELECT round, part, row_id, class, {_NX}, lang, source FROM rrows JOIN rrng USING (round, part))",
+    f"""rpairs AS (SELECT a.round, a.part, a.row_id AS qid, a.class AS qclass, b.row_id AS tid, b.class AS nclass, {_DIFFS}, ({_DN}) + ({_DC}) AS d
+        FROM nrows a JOIN nrows b ON a.round = b.round AND a.part = b.part AND a.row_id <> b.row_id)""",
+    f"rnb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round, part, qid, nclass ORDER BY round(d, 12), tid) AS rk FROM rpairs) WHERE rk <= {RELIEF_K})",
+    "rcnt AS (SELECT *, count(*) OVER (PARTITION BY round, part, qid, nclass) AS cnt FROM rnb)",
+    "rprior AS (SELECT round, part, class, count(*) / sum(count(*)) OVER (PARTITION BY round, part) AS p FROM rrows GROUP BY round, part, class)",
+    "rsize AS (SELECT round, part, count(*) AS n_inst FROM rrows GROUP BY round, part)",
+    """rf AS (SELECT c.*, CASE WHEN c.nclass = c.qclass THEN -1.0 ELSE pn.p / (1 - pq.p) END / c.cnt AS f
+        FROM rcnt c JOIN rprior pn ON pn.round = c.round AND pn.part = c.part AND pn.class = c.nclass
+                    JOIN rprior pq ON pq.round = c.round AND pq.part = c.part AND pq.class = c.qclass)""",
+]
+ORACLES["relieff_weights"] = q(
+    RELIEF,
+    " UNION ALL ".join(
+        f"SELECT CAST(rf.round AS BIGINT) AS round, CAST(rf.part AS BIGINT) AS part, CAST({i} AS BIGINT) AS idx, round(sum(f * d{i}) / any_value(s.n_inst), 6) AS weight "
+        f"FROM rf JOIN rsize s ON s.round = rf.round AND s.part = rf.part GROUP BY rf.round, rf.part"
+        for i in range(len(DOC_NUM) + len(DOC_NOM))
+    ),
+)

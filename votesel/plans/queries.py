@@ -522,4 +522,21 @@ def q_classifier_complexity(spark, sf):
     return classifier_complexity(bl.train, bl.attrs, totals, cands, "DT")
 
 
+# ------------------------------------------------------------------ ReliefF
+
+DOC_PARTS = 2
+RELIEF_K = 10
+
+
+def q_relieff_weights(spark, sf):
+    from votesel.operators.relief import relieff_weights
+
+    d = FX.doc_quality(spark, sf)
+    train, _ = train_test_split(d)
+    train = cut_lineage(train)
+    attrs = A.typed_attributes(train)
+    bl = Blocks(train, attrs, assign=cut_lineage(horizontal_assignment(train, DOC_PARTS, ROUNDS, SEED)))
+    return present(relieff_weights(bl, class_list(train), RELIEF_K))
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_") and callable(fn)}
