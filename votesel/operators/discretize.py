@@ -24,7 +24,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votesel.functions.exprs import n_positive
 from votesel.operators.ranking import ROWS_PER_TASK, checked_broadcast, exact_running_sums, quantile_bucket
 from votesel.session import cut_lineage
 
@@ -38,16 +37,21 @@ def class_list(df: DataFrame, label: str = "class") -> list[str]:
 
 def value_histogram(cells: DataFrame, keys: Sequence[str], classes: Sequence[str], value: str = "num") -> DataFrame:
     """``keys, value, n0..n{k-1}`` from cells carrying ``keys, value, class``."""
-    aggs = [F.count_if(F.col("class") == F.lit(c)).alias(f"n{i}") for i, c in enumerate(classes)]
+    aggs = [F.expr(f"count_if(class = '{c}')").alias(f"n{i}") for i, c in enumerate(c.replace("'", "''") for c in classes)]
     return cells.groupBy(*keys, F.col(value).alias("value")).agg(*aggs)
 
 
-def _xlogx(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+def _xl(c: str) -> str:
+    """SQL text of c*log2(c), 0 for c = 0 (expressions are built as SQL text: one JVM call each)."""
+    return f"(CASE WHEN ({c}) > 0 THEN ({c}) * log2({c}) ELSE 0.0 END)"
 
 
-def _sum(cols: Sequence[Column]) -> Column:
-    return sum(cols[1:], cols[0])
+def _plus(cols: Sequence[str]) -> str:
+    return "(" + " + ".join(cols) + ")"
+
+
+def _npos(cols: Sequence[str]) -> str:
+    return "(" + " + ".join(f"CASE WHEN {c} > 0 THEN 1 ELSE 0 END" for c in cols) + ")"
 
 
 def mdl_candidates(cum: DataFrame, intervals: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -56,27 +60,22 @@ def mdl_candidates(cum: DataFrame, intervals: DataFrame, keys: Sequence[str], k:
     ``e = (nL log2 nL + nR log2 nR - sum l log2 l - sum r log2 r) / n``.
     """
     j = cum.join(intervals, [*keys, "node"]).where(F.col("dpos") < F.col("hi_d"))
-    lr = j.select(
+    ls = [f"l{i}" for i in range(k)]
+    rs = [f"r{i}" for i in range(k)]
+    lr = j.selectExpr(
         *keys,
         "node",
         "value",
         "dpos",
         "lo_d",
         "hi_d",
-        *[F.col(f"lo{i}") for i in range(k)],
-        *[(F.col(f"cn{i}") - F.col(f"lo{i}")).alias(f"l{i}") for i in range(k)],
-        *[(F.col(f"hi{i}") - F.col(f"cn{i}")).alias(f"r{i}") for i in range(k)],
+        *[f"lo{i}" for i in range(k)],
+        *[f"cn{i} - lo{i} AS l{i}" for i in range(k)],
+        *[f"hi{i} - cn{i} AS r{i}" for i in range(k)],
     )
-    ls = [F.col(f"l{i}") for i in range(k)]
-    rs = [F.col(f"r{i}") for i in range(k)]
-    lr = lr.select("*", _sum(ls).alias("nl"), _sum(rs).alias("nr"))
-    e = (
-        _xlogx(F.col("nl"))
-        + _xlogx(F.col("nr"))
-        - _sum([_xlogx(c) for c in ls])
-        - _sum([_xlogx(c) for c in rs])
-    ) / (F.col("nl") + F.col("nr"))
-    return lr.select("*", e.alias("e"))
+    lr = lr.selectExpr("*", f"{_plus(ls)} AS nl", f"{_plus(rs)} AS nr")
+    e = f"({_xl('nl')} + {_xl('nr')} - {_plus([_xl(c) for c in ls])} - {_plus([_xl(c) for c in rs])}) / (nl + nr)"
+    return lr.selectExpr("*", f"{e} AS e")
 
 
 def mdl_best(cands: DataFrame, keys: Sequence[str], k: int, better_encoding: bool = True) -> DataFrame:
@@ -87,40 +86,39 @@ def mdl_best(cands: DataFrame, keys: Sequence[str], k: int, better_encoding: boo
     encoding, n - 1 otherwise).
     """
     fields = ["value", "dpos", "e", "lo_d", "hi_d", "nl", "nr"] + [f"{p}{i}" for p in ("l", "r", "lo") for i in range(k)]
-    order = F.struct(F.round("e", TIE_DIGITS), F.col("value"))
-    best = cands.groupBy(*keys, "node").agg(F.min_by(F.struct(*fields), order).alias("b"))
-    best = best.select(*keys, "node", *[F.col("b").getField(f).alias(f) for f in fields])
-    ls = [F.col(f"l{i}") for i in range(k)]
-    rs = [F.col(f"r{i}") for i in range(k)]
-    ts = [(F.col(f"l{i}") + F.col(f"r{i}")) for i in range(k)]
-    nl, nr = F.col("nl"), F.col("nr")
-    best = best.select(
+    best = cands.groupBy(*keys, "node").agg(
+        F.expr(f"min_by(struct({', '.join(fields)}), struct(round(e, {TIE_DIGITS}), value))").alias("b")
+    )
+    best = best.selectExpr(*keys, "node", *[f"b.{f} AS {f}" for f in fields])
+    ls = [f"l{i}" for i in range(k)]
+    rs = [f"r{i}" for i in range(k)]
+    ts = [f"(l{i} + r{i})" for i in range(k)]
+    best = best.selectExpr(
         "*",
-        (nl + nr).alias("n"),
-        ((_xlogx(nl) - _sum([_xlogx(c) for c in ls])) / nl).alias("h_l"),
-        ((_xlogx(nr) - _sum([_xlogx(c) for c in rs])) / nr).alias("h_r"),
-        ((_xlogx(nl + nr) - _sum([_xlogx(c) for c in ts])) / (nl + nr)).alias("h_prior"),
-        n_positive(ts).alias("k_all"),
-        n_positive(ls).alias("k_l"),
-        n_positive(rs).alias("k_r"),
+        "nl + nr AS n",
+        f"(({_xl('nl')} - {_plus([_xl(c) for c in ls])}) / nl) AS h_l",
+        f"(({_xl('nr')} - {_plus([_xl(c) for c in rs])}) / nr) AS h_r",
+        f"(({_xl('nl + nr')} - {_plus([_xl(c) for c in ts])}) / (nl + nr)) AS h_prior",
+        f"{_npos(ts)} AS k_all",
+        f"{_npos(ls)} AS k_l",
+        f"{_npos(rs)} AS k_r",
     )
-    cut_points = (F.col("hi_d") - F.col("lo_d") - 1) if better_encoding else (F.col("n") - 1)
-    delta = F.log2(F.pow(F.lit(3.0), F.col("k_all")) - 2) - (
-        F.col("k_all") * F.col("h_prior") - F.col("k_r") * F.col("h_r") - F.col("k_l") * F.col("h_l")
+    cut_points = "(hi_d - lo_d - 1)" if better_encoding else "(n - 1)"
+    delta = "(log2(pow(3.0, k_all) - 2) - (k_all * h_prior - k_r * h_r - k_l * h_l))"
+    accept = (
+        f"(round(e, {TIE_DIGITS}) < round(h_prior, {TIE_DIGITS}) AND (h_prior - e) > (log2({cut_points}) + {delta}) / n)"
     )
-    gain = F.col("h_prior") - F.col("e")
-    accept = (F.round("e", TIE_DIGITS) < F.round("h_prior", TIE_DIGITS)) & (gain > (F.log2(cut_points) + delta) / F.col("n"))
-    return best.select(
+    return best.selectExpr(
         *keys,
         "node",
-        F.col("value").alias("cut"),
+        "value AS cut",
         "dpos",
         "e",
         "h_prior",
-        gain.alias("gain"),
-        F.col("n").cast("bigint").alias("n"),
-        accept.alias("accepted"),
-        *[F.col(f"{p}{i}") for p in ("l", "r", "lo") for i in range(k)],
+        "h_prior - e AS gain",
+        "CAST(n AS BIGINT) AS n",
+        f"{accept} AS accepted",
+        *[f"{p}{i}" for p in ("l", "r", "lo") for i in range(k)],
         "lo_d",
         "hi_d",
     )
@@ -135,19 +133,17 @@ def prepare_histogram(hist: DataFrame, keys: Sequence[str], k: int, rows_per_tas
     hb, bucket = quantile_bucket(hist, keys, "value", biggest, rows_per_task)
     counts = [f"n{i}" for i in range(k)]
     cum = exact_running_sums(hb, keys, [F.col("value")], counts, bucket, prefix="c", position="dpos")
-    cum = cum.select(*keys, "value", "dpos", *counts, *[F.col(f"cn{i}") for i in range(k)]).withColumn(
-        "node", F.lit(1).cast("bigint")
-    )
+    cum = cum.selectExpr(*keys, "value", "dpos", *counts, *[f"cn{i}" for i in range(k)], "CAST(1 AS BIGINT) AS node")
     roots = hist.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("hi_d"), *[F.sum(f"n{i}").alias(f"hi{i}") for i in range(k)]
     )
-    roots = roots.select(
+    roots = roots.selectExpr(
         *keys,
-        F.lit(1).cast("bigint").alias("node"),
-        F.lit(0).cast("bigint").alias("lo_d"),
-        F.col("hi_d").cast("bigint").alias("hi_d"),
-        *[F.lit(0).cast("bigint").alias(f"lo{i}") for i in range(k)],
-        *[F.col(f"hi{i}").cast("bigint").alias(f"hi{i}") for i in range(k)],
+        "CAST(1 AS BIGINT) AS node",
+        "CAST(0 AS BIGINT) AS lo_d",
+        "CAST(hi_d AS BIGINT) AS hi_d",
+        *[f"CAST(0 AS BIGINT) AS lo{i}" for i in range(k)],
+        *[f"CAST(hi{i} AS BIGINT) AS hi{i}" for i in range(k)],
     )
     return cut_lineage(cum), roots
 
@@ -184,26 +180,29 @@ def mdl_discretize(
         acc = cut_lineage(acc)
         cut_parts.append(acc.select(*keys, "cut", F.lit(depth).alias("depth")))
         # children intervals come from the accepted rows alone (parent start + left/right counts)
-        left = acc.select(
+        left = acc.selectExpr(
             *keys,
-            (F.col("node") * 2).alias("node"),
+            "node * 2 AS node",
             "lo_d",
-            F.col("dpos").alias("hi_d"),
-            *[F.col(f"lo{i}") for i in range(k)],
-            *[(F.col(f"lo{i}") + F.col(f"l{i}")).alias(f"hi{i}") for i in range(k)],
+            "dpos AS hi_d",
+            *[f"lo{i}" for i in range(k)],
+            *[f"lo{i} + l{i} AS hi{i}" for i in range(k)],
         )
-        right = acc.select(
+        right = acc.selectExpr(
             *keys,
-            (F.col("node") * 2 + 1).alias("node"),
-            F.col("dpos").alias("lo_d"),
+            "node * 2 + 1 AS node",
+            "dpos AS lo_d",
             "hi_d",
-            *[(F.col(f"lo{i}") + F.col(f"l{i}")).alias(f"lo{i}") for i in range(k)],
-            *[(F.col(f"lo{i}") + F.col(f"l{i}") + F.col(f"r{i}")).alias(f"hi{i}") for i in range(k)],
+            *[f"lo{i} + l{i} AS lo{i}" for i in range(k)],
+            *[f"lo{i} + l{i} + r{i} AS hi{i}" for i in range(k)],
         )
         intervals = left.unionByName(right)
-        moved = active.join(acc.select(*keys, "node", F.col("dpos").alias("_cut_d")), [*keys, "node"])
+        moved = active.join(acc.selectExpr(*keys, "node", "dpos AS _cut_d"), [*keys, "node"])
         active = cut_lineage(
-            moved.withColumn("node", F.col("node") * 2 + F.when(F.col("dpos") > F.col("_cut_d"), 1).otherwise(0)).drop("_cut_d")
+            moved.selectExpr(
+                *keys, "value", "dpos", *[f"n{i}" for i in range(k)], *[f"cn{i}" for i in range(k)],
+                "node * 2 + CASE WHEN dpos > _cut_d THEN 1 ELSE 0 END AS node",
+            )
         )
     if cut_parts:
         cuts = cut_parts[0]

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votesel.operators.attributes import NUMERIC, Attr
@@ -210,4 +210,6 @@ def cfs_select(
         if picks.isEmpty():
             break
         cand = cut_lineage(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks))
-    return cand.where("chosen").select(*SCOPE, "idx", F.col("order_in").alias("step"))
+    chosen = cand.where("chosen")
+    order = Window.partitionBy(*SCOPE).orderBy("order_in", "idx")  # a block holds at most m features
+    return chosen.select(*SCOPE, "idx", F.row_number().over(order).alias("step"))

@@ -478,3 +478,85 @@ ORACLES["relieff_weights"] = q(
         for i in range(len(DOC_NUM) + len(DOC_NOM))
     ),
 )
+
+# ------------------------------------------------------------------ CFS (pair SU by brute force, search unrolled)
+M_BAND = len(BAND_FEATS)
+BROWCODES = """browcodes AS (
+  SELECT c.round, c.part, c.row_id, c.idx,
+         CASE WHEN c.num IS NULL THEN c.cat
+              ELSE CAST((SELECT count(*) FROM cuts k WHERE k.round = c.round AND k.part = c.part AND k.idx = c.idx AND c.num > k.cut) AS VARCHAR) END AS code
+  FROM cells c)"""
+BPAIRSU = f"""bpct AS (SELECT a.round, a.part, a.idx AS ia, b.idx AS ib, a.code AS ca, b.code AS cb, count(*) AS n
+           FROM browcodes a JOIN browcodes b ON a.round = b.round AND a.part = b.part AND a.row_id = b.row_id GROUP BY ALL),
+bpa AS (SELECT round, part, ia, ib, sum({xlogx('m')}) AS sa FROM (SELECT round, part, ia, ib, ca, sum(n) AS m FROM bpct GROUP BY ALL) GROUP BY ALL),
+bpb AS (SELECT round, part, ia, ib, sum({xlogx('m')}) AS sb FROM (SELECT round, part, ia, ib, cb, sum(n) AS m FROM bpct GROUP BY ALL) GROUP BY ALL),
+bpab AS (SELECT round, part, ia, ib, sum({xlogx('n')}) AS sab, sum(n) AS ntot FROM bpct GROUP BY ALL),
+bph AS (SELECT round, part, ia, ib, {h_of('sa', 'ntot')} AS h_a, {h_of('sb', 'ntot')} AS h_b, {h_of('sab', 'ntot')} AS h_ab
+        FROM bpab JOIN bpa USING (round, part, ia, ib) JOIN bpb USING (round, part, ia, ib)),
+psu AS (SELECT round, part, ia, ib, CASE WHEN h_a + h_b > 0 THEN 2 * (h_a + h_b - h_ab) / (h_a + h_b) ELSE 0.0 END AS su FROM bph),
+rcf AS (SELECT round, part, idx, su AS rcf FROM scores)"""
+
+
+def cfs_ctes(m: int = M_BAND) -> list[str]:
+    out = [
+        BROWCODES,
+        BPAIRSU,
+        "st0 AS (SELECT DISTINCT round, part, CAST([] AS INTEGER[]) AS sel, 0 AS k, 0.0 AS srcf, 0.0 AS srff, 0.0 AS merit FROM assign)",
+    ]
+    for s in range(m + 1):
+        out.append(
+            f"""cd{s} AS (SELECT st.round, st.part, f.idx, f.rcf,
+                   (st.srcf + f.rcf) / sqrt(st.k + 1 + 2 * (st.srff + coalesce((SELECT sum(p.su) FROM psu p WHERE p.round = st.round AND p.part = st.part
+                        AND p.ia = f.idx AND list_contains(st.sel, p.ib)), 0.0))) AS m_new,
+                   coalesce((SELECT sum(p.su) FROM psu p WHERE p.round = st.round AND p.part = st.part AND p.ia = f.idx AND list_contains(st.sel, p.ib)), 0.0) AS acc,
+                   st.merit
+            FROM st{s} st JOIN rcf f ON f.round = st.round AND f.part = st.part WHERE NOT list_contains(st.sel, f.idx))"""
+        )
+        out.append(
+            f"""bs{s} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round, part ORDER BY round(m_new, 9) DESC, idx) AS rk FROM cd{s})
+            WHERE rk = 1 AND round(m_new, 9) > round(merit, 9))"""
+        )
+        out.append(
+            f"""st{s + 1} AS (SELECT st.round, st.part,
+                   CASE WHEN b.idx IS NULL THEN st.sel ELSE list_append(st.sel, CAST(b.idx AS INTEGER)) END AS sel,
+                   st.k + CASE WHEN b.idx IS NULL THEN 0 ELSE 1 END AS k,
+                   st.srcf + coalesce(b.rcf, 0.0) AS srcf, st.srff + coalesce(b.acc, 0.0) AS srff, coalesce(b.m_new, st.merit) AS merit
+            FROM st{s} st LEFT JOIN bs{s} b ON b.round = st.round AND b.part = st.part)"""
+        )
+    g = m + 1
+    out.append(f"lp0 AS (SELECT round, part, sel FROM st{g})")
+    for s in range(m):
+        out.append(
+            f"""lc{s} AS (SELECT l.round, l.part, f.idx, f.rcf,
+                   greatest(0.0, coalesce((SELECT max(p.su) FROM psu p WHERE p.round = l.round AND p.part = l.part AND p.ia = f.idx AND list_contains(l.sel, p.ib)), 0.0)) AS mx
+            FROM lp{s} l JOIN rcf f ON f.round = l.round AND f.part = l.part WHERE NOT list_contains(l.sel, f.idx))"""
+        )
+        out.append(
+            f"""lb{s} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round, part ORDER BY round(rcf, 9) DESC, idx) AS rk FROM lc{s}
+                 WHERE round(rcf, 9) > 0 AND round(mx, 9) < round(rcf, 9)) WHERE rk = 1)"""
+        )
+        out.append(
+            f"""lp{s + 1} AS (SELECT l.round, l.part, CASE WHEN b.idx IS NULL THEN l.sel ELSE list_append(l.sel, CAST(b.idx AS INTEGER)) END AS sel
+            FROM lp{s} l LEFT JOIN lb{s} b ON b.round = l.round AND b.part = l.part)"""
+        )
+    out.append(f"cfs AS (SELECT round, part, unnest(sel) AS idx, unnest(generate_series(1, len(sel))) AS step FROM lp{m})")
+    return out
+
+
+ORACLES["cfs_select"] = q(
+    band_ig_ctes() + cfs_ctes(),
+    "SELECT CAST(round AS BIGINT) AS round, CAST(part AS BIGINT) AS part, CAST(idx AS BIGINT) AS idx, CAST(step AS BIGINT) AS step FROM cfs",
+)
+ORACLES["cfs_mean_size"] = q(
+    band_ig_ctes()
+    + cfs_ctes()
+    + [
+        FEATS,
+        BLOCKS,
+        "csize AS (SELECT b.round, b.part, count(c.idx) AS n FROM blocks b LEFT JOIN cfs c ON c.round = b.round AND c.part = b.part GROUP BY ALL)",
+        """crem AS (SELECT b.round, b.part, f.idx FROM blocks b CROSS JOIN feats f
+                    WHERE NOT EXISTS (SELECT 1 FROM cfs c WHERE c.round = b.round AND c.part = b.part AND c.idx = f.idx))""",
+        "cper AS (SELECT r.round, r.idx, max(s.n + 1) AS max_n FROM crem r JOIN csize s ON s.round = r.round AND s.part = r.part GROUP BY ALL)",
+    ],
+    "SELECT CAST(floor(avg(max_n)) AS BIGINT) AS cfs_mean_size, CAST(count(*) AS BIGINT) AS n_records FROM cper",
+)
