@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votesel.operators.ranking import ROWS_PER_TASK, checked_broadcast, exact_running_sums, quantile_bucket
+from votesel.operators.ranking import BROADCAST_MAX_ROWS, ROWS_PER_TASK, checked_broadcast, exact_running_sums, quantile_bucket
 from votesel.session import cut_lineage
 
 TIE_DIGITS = 12
@@ -59,7 +59,12 @@ def mdl_candidates(cum: DataFrame, intervals: DataFrame, keys: Sequence[str], k:
 
     ``e = (nL log2 nL + nR log2 nR - sum l log2 l - sum r log2 r) / n``.
     """
-    j = cum.join(intervals, [*keys, "node"]).where(F.col("dpos") < F.col("hi_d"))
+    return candidates_from(cum.join(intervals, [*keys, "node"]), keys, k)
+
+
+def candidates_from(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """Boundaries of histogram rows that carry their interval (``node, lo_d, hi_d, lo*, hi*``)."""
+    j = rows.where(F.col("dpos") < F.col("hi_d"))
     ls = [f"l{i}" for i in range(k)]
     rs = [f"r{i}" for i in range(k)]
     lr = j.selectExpr(
@@ -163,45 +168,40 @@ def mdl_discretize(
     ``keys, cut, depth`` (accepted boundaries; ``x <= cut`` lies left of it).
     """
     keys = list(keys)
-    cum, intervals = prepare_histogram(hist, keys, k, rows_per_task)
+    cum, roots = prepare_histogram(hist, keys, k, rows_per_task)
     spark = hist.sparkSession
-    cut_parts = []
+    cut_parts, cached = [], []
     depth = 0
-    active = cum
+    # every open row carries its interval bounds, so a level is one aggregate + one join
+    active = cum.join(roots, [*keys, "node"])
+    counts = [f"n{i}" for i in range(k)] + [f"cn{i}" for i in range(k)]
     while True:
         depth += 1
         if max_depth is not None and depth > max_depth:
             break
-        best = mdl_best(mdl_candidates(active, intervals, keys, k), keys, k, better_encoding)
+        best = mdl_best(candidates_from(active, keys, k), keys, k, better_encoding)
         acc = best.where("accepted").persist()
-        if acc.count() == 0:
+        n_acc = acc.count()
+        if n_acc == 0:
             acc.unpersist()
             break
-        acc = cut_lineage(acc)
+        cached.append(acc)
         cut_parts.append(acc.select(*keys, "cut", F.lit(depth).alias("depth")))
-        # children intervals come from the accepted rows alone (parent start + left/right counts)
-        left = acc.selectExpr(
-            *keys,
-            "node * 2 AS node",
-            "lo_d",
-            "dpos AS hi_d",
-            *[f"lo{i}" for i in range(k)],
-            *[f"lo{i} + l{i} AS hi{i}" for i in range(k)],
-        )
-        right = acc.selectExpr(
-            *keys,
-            "node * 2 + 1 AS node",
-            "dpos AS lo_d",
-            "hi_d",
-            *[f"lo{i} + l{i} AS lo{i}" for i in range(k)],
-            *[f"lo{i} + l{i} + r{i} AS hi{i}" for i in range(k)],
-        )
-        intervals = left.unionByName(right)
-        moved = active.join(acc.selectExpr(*keys, "node", "dpos AS _cut_d"), [*keys, "node"])
+        split = acc.selectExpr(*keys, "node", "dpos AS _cd", *[f"l{i} AS _l{i}" for i in range(k)])
+        if n_acc <= BROADCAST_MAX_ROWS:  # size known from the count above
+            split = F.broadcast(split)
+        right = "(dpos > _cd)"
         active = cut_lineage(
-            moved.selectExpr(
-                *keys, "value", "dpos", *[f"n{i}" for i in range(k)], *[f"cn{i}" for i in range(k)],
-                "node * 2 + CASE WHEN dpos > _cut_d THEN 1 ELSE 0 END AS node",
+            active.join(split, [*keys, "node"]).selectExpr(
+                *keys,
+                "value",
+                "dpos",
+                *counts,
+                f"node * 2 + CASE WHEN {right} THEN 1 ELSE 0 END AS node",
+                f"CASE WHEN {right} THEN _cd ELSE lo_d END AS lo_d",
+                f"CASE WHEN {right} THEN hi_d ELSE _cd END AS hi_d",
+                *[f"CASE WHEN {right} THEN lo{i} + _l{i} ELSE lo{i} END AS lo{i}" for i in range(k)],
+                *[f"CASE WHEN {right} THEN hi{i} ELSE lo{i} + _l{i} END AS hi{i}" for i in range(k)],
             )
         )
     if cut_parts:
@@ -213,6 +213,8 @@ def mdl_discretize(
             *keys, F.lit(None).cast("double").alias("cut"), F.lit(None).cast("int").alias("depth")
         )
     cuts = cut_lineage(cuts)
+    for c in cached:
+        c.unpersist()
     cut_sets = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     coded = cum.join(checked_broadcast(cut_sets), keys, "left").select(
         *keys,
