@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votesel.operators.ranking import BROADCAST_MAX_ROWS, ROWS_PER_TASK, checked_broadcast, exact_running_sums, quantile_bucket
-from votesel.session import cut_lineage
+from votesel.session import cut_lineage, loop_state, materialize
 
 TIE_DIGITS = 12
 
@@ -150,7 +150,7 @@ def prepare_histogram(hist: DataFrame, keys: Sequence[str], k: int, rows_per_tas
         *[f"CAST(0 AS BIGINT) AS lo{i}" for i in range(k)],
         *[f"CAST(hi{i} AS BIGINT) AS hi{i}" for i in range(k)],
     )
-    return cut_lineage(cum), roots
+    return materialize(cum), roots
 
 
 def mdl_discretize(
@@ -191,7 +191,7 @@ def mdl_discretize(
         if n_acc <= BROADCAST_MAX_ROWS:  # size known from the count above
             split = F.broadcast(split)
         right = "(dpos > _cd)"
-        active = cut_lineage(
+        active = loop_state(
             active.join(split, [*keys, "node"]).selectExpr(
                 *keys,
                 "value",
@@ -202,7 +202,8 @@ def mdl_discretize(
                 f"CASE WHEN {right} THEN hi_d ELSE _cd END AS hi_d",
                 *[f"CASE WHEN {right} THEN lo{i} + _l{i} ELSE lo{i} END AS lo{i}" for i in range(k)],
                 *[f"CASE WHEN {right} THEN hi{i} ELSE lo{i} + _l{i} END AS hi{i}" for i in range(k)],
-            )
+            ),
+            depth,
         )
     if cut_parts:
         cuts = cut_parts[0]
@@ -212,7 +213,7 @@ def mdl_discretize(
         cuts = spark.createDataFrame([], cum.select(*keys).schema).select(
             *keys, F.lit(None).cast("double").alias("cut"), F.lit(None).cast("int").alias("depth")
         )
-    cuts = cut_lineage(cuts)
+    cuts = cut_lineage(cuts)  # independent of the cached accepted rows, which can now go
     for c in cached:
         c.unpersist()
     cut_sets = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))

@@ -27,13 +27,16 @@ from votesel.functions.exprs import hex_bucket
 ROWS_PER_TASK = 2_000_000
 # A side is broadcast only when its counted size is at most this many rows.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; beyond ``max_rows`` leave it to a shuffle join."""
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after counting it: at most ``max_rows`` rows and an estimated
+    ``max_bytes`` (rows x the schema's default row size). Otherwise it stays a shuffle join."""
     df = df.persist()
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    row_bytes = max(int(df._jdf.schema().defaultSize()), 8)
+    return F.broadcast(df) if n <= max_rows and n * row_bytes <= max_bytes else df
 
 
 def hex_digits_for(max_group_rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:

@@ -23,7 +23,7 @@ from votesel.operators.attributes import NUMERIC, Attr
 from votesel.operators.discretize import code_of
 from votesel.operators.info import feature_class_contingency, info_gain, pair_measures, rank_top_k
 from votesel.operators.ranking import checked_broadcast
-from votesel.session import cut_lineage
+from votesel.session import loop_state, materialize
 
 SCOPE = ["round", "part"]
 DIGITS = 9
@@ -75,7 +75,7 @@ def _melt_scoped(rows: DataFrame, attrs: Sequence[Attr]) -> DataFrame:
 def class_scores(bl: Blocks, classes: Sequence[str], better_encoding: bool = True):
     """``round, part, idx, ig, su`` per scope and the accepted MDL cuts ``round, part, idx, cut, depth``."""
     ct, cuts = feature_class_contingency(bl.cells(), SCOPE, classes, better_encoding)
-    scores = cut_lineage(info_gain(ct, SCOPE))
+    scores = materialize(info_gain(ct, SCOPE))
     return scores, cuts
 
 
@@ -152,7 +152,7 @@ def cfs_select(
     max_steps: int | None = None,
 ) -> DataFrame:
     """``round, part, idx, step`` kept by CFS in every block (step = order of addition)."""
-    coded = cut_lineage(coded_rows(bl, cuts))
+    coded = materialize(coded_rows(bl, cuts))
     rcf = bl.block_features(scores.select(*SCOPE, "idx", F.col("su").alias("rcf")))
     cand = rcf.select(
         *SCOPE,
@@ -167,7 +167,7 @@ def cfs_select(
     state = bl.blocks().select(
         *SCOPE, F.lit(0).alias("k"), F.lit(0.0).alias("sum_rcf"), F.lit(0.0).alias("sum_rff"), F.lit(0.0).alias("merit")
     )
-    cand, state = cut_lineage(cand), cut_lineage(state)
+    cand, state = materialize(cand), materialize(state)
     step = 0
     # greedy forward search
     while max_steps is None or step < max_steps:
@@ -181,19 +181,20 @@ def cfs_select(
         )
         best = best.where(F.round(F.col("b.m_new"), DIGITS) > F.round(F.col("merit"), DIGITS))
         picks = best.select(*SCOPE, F.col("b.idx").alias("c"), F.col("b.m_new").alias("m_new"), F.col("b.rcf").alias("b_rcf"), F.col("b.acc_rff").alias("b_acc"))
-        picks = cut_lineage(picks)
+        picks = materialize(picks)
         if picks.isEmpty():
             break
-        state = cut_lineage(
+        state = loop_state(
             state.join(picks, SCOPE, "left").select(
                 *SCOPE,
                 (F.col("k") + F.when(F.col("c").isNotNull(), 1).otherwise(0)).alias("k"),
                 (F.col("sum_rcf") + F.coalesce("b_rcf", F.lit(0.0))).alias("sum_rcf"),
                 (F.col("sum_rff") + F.coalesce("b_acc", F.lit(0.0))).alias("sum_rff"),
                 F.coalesce("m_new", "merit").alias("merit"),
-            )
+            ),
+            step,
         )
-        cand = cut_lineage(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks.select(*SCOPE, "c")))
+        cand = loop_state(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks.select(*SCOPE, "c")), step)
     # locally predictive features: highest class correlation first, added when no chosen
     # feature correlates with it as much as the class does
     while locally_predictive:
@@ -206,10 +207,10 @@ def cfs_select(
         picks = ok.groupBy(*SCOPE).agg(
             F.max_by("idx", F.struct(F.round("rcf", DIGITS), -F.col("idx"))).alias("c")
         )
-        picks = cut_lineage(picks)
+        picks = materialize(picks)
         if picks.isEmpty():
             break
-        cand = cut_lineage(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks))
+        cand = loop_state(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks), step)
     chosen = cand.where("chosen")
     order = Window.partitionBy(*SCOPE).orderBy("order_in", "idx")  # a block holds at most m features
     return chosen.select(*SCOPE, "idx", F.row_number().over(order).alias("step"))

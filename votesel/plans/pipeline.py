@@ -28,7 +28,7 @@ from votesel.operators.threshold import (
     vote_range,
 )
 from votesel.operators.votes import block_sizes, cfs_mean_size, part_stats, partition_votes, vote_stats, vote_totals
-from votesel.session import cut_lineage
+from votesel.session import materialize
 
 SELECTORS = ("CFS", "IG", "RF")
 MEASURES = ("F1", "F2", "none", "SVM", "KNN", "DT", "NB")
@@ -58,11 +58,12 @@ def prepare(
     test_df: DataFrame | None = None,
     label: str = "class",
 ):
-    """Rare-class filter, attributes, split. Train and test are checkpointed (reused by every stage)."""
+    """Rare-class filter, attributes, split. Train is persisted (reused by every stage; its
+    lineage is a scan plus the split); test stays lazy until evaluation."""
     df = drop_rare_classes(df, min_count, label)
     attrs = list(attrs) if attrs is not None else typed_attributes(df, label)
     train, test = train_test_split(df, label, test_df=test_df)
-    return cut_lineage(train), cut_lineage(test), attrs
+    return materialize(train), test, attrs
 
 
 def make_blocks(
@@ -76,9 +77,9 @@ def make_blocks(
     partition_mode: str = "rank",
 ) -> Blocks:
     if vertical:
-        vpart = cut_lineage(vertical_partition(attrs_frame(train.sparkSession, attrs), parts, rounds, seed, overlap))
+        vpart = materialize(vertical_partition(attrs_frame(train.sparkSession, attrs), parts, rounds, seed, overlap))
         return Blocks(train, attrs, vpart=vpart)
-    assign = cut_lineage(horizontal_assignment(train, parts, rounds, seed, partition_mode))
+    assign = materialize(horizontal_assignment(train, parts, rounds, seed, partition_mode))
     return Blocks(train, attrs, assign=assign)
 
 
@@ -121,9 +122,8 @@ def select_features(
     classes = class_list(train)
     bl = make_blocks(train, attrs, parts, rounds, seed, vertical, overlap, partition_mode)
     scores, cuts = class_scores(bl, classes)
-    cuts = cut_lineage(cuts)
-    blocks = cut_lineage(bl.blocks())
-    fm = cut_lineage(feature_measures(class_feature_stats(train, attrs)))
+    blocks = materialize(bl.blocks())
+    fm = materialize(feature_measures(class_feature_stats(train, attrs)))
     res.timings["prepare"] = time.time() - t0
     cfs_k = None
     for sel in selectors:
@@ -136,9 +136,9 @@ def select_features(
             from votesel.operators.relief import relieff_select
 
             picked = relieff_select(bl, classes, k or cfs_k or max(1, m // 2), relief_neighbours)
-        picked = cut_lineage(picked.select("round", "part", "idx"))
+        picked = materialize(picked.select("round", "part", "idx"))
         res.block_selected[sel] = picked
-        votes = cut_lineage(vote_totals(partition_votes(picked, blocks, attrs_df, rounds)))
+        votes = materialize(vote_totals(partition_votes(picked, blocks, attrs_df, rounds)))
         res.votes[sel] = votes
         ps = part_stats(block_sizes(picked, blocks)).first()
         res.metrics += [
@@ -150,7 +150,7 @@ def select_features(
             res.metrics.append((sel, "", "cfs_mean_size", float(mean_size or 0)))
         vs = vote_stats(votes)
         ths = thresholds(vote_range(vs, vertical, parts, rounds))
-        cands = cut_lineage(candidate_subsets(votes, ths, fm))
+        cands = materialize(candidate_subsets(votes, ths, fm))
         for meas in measures:
             comp = None
             if meas in ("SVM", "KNN", "DT", "NB"):

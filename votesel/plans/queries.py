@@ -19,7 +19,7 @@ from votesel.operators.discretize import class_list, mdl_best, mdl_candidates, m
 from votesel.operators.info import class_entropy, nominal_contingency, pair_measures
 from votesel.operators.selectors import Blocks, cfs_select, class_scores, coded_rows, ig_select, pair_su
 from votesel.operators.split import assign_folds, attrs_frame, horizontal_assignment, train_test_split, vertical_partition
-from votesel.session import cut_lineage
+from votesel.session import materialize
 from votesel.sources import fixtures as FX
 from votesel.sources.text import parse_lines
 
@@ -56,7 +56,7 @@ def band(spark, sf):
 
 def band_train(spark, sf):
     train, _ = train_test_split(band(spark, sf))
-    return cut_lineage(train)
+    return materialize(train)
 
 
 def band_attrs(spark, sf):
@@ -66,7 +66,7 @@ def band_attrs(spark, sf):
 def band_blocks(spark, sf) -> tuple[Blocks, list[str]]:
     train = band_train(spark, sf)
     attrs = A.typed_attributes(train)
-    assign = cut_lineage(horizontal_assignment(train, PARTS, ROUNDS, SEED))
+    assign = materialize(horizontal_assignment(train, PARTS, ROUNDS, SEED))
     return Blocks(train, attrs, assign=assign), class_list(train)
 
 
@@ -80,14 +80,14 @@ def band_global(spark, sf) -> tuple[Blocks, list[str]]:
 
 def band_ig_votes(spark, sf):
     bl, classes = band_blocks(spark, sf)
-    picked = cut_lineage(ig_select(bl, classes, TOP_K))
+    picked = materialize(ig_select(bl, classes, TOP_K))
     attrs_df = attrs_frame(spark, bl.attrs)
     return picked, bl, attrs_df
 
 
 def band_totals(spark, sf):
     picked, bl, attrs_df = band_ig_votes(spark, sf)
-    return cut_lineage(V.vote_totals(V.partition_votes(picked, bl.blocks(), attrs_df, ROUNDS))), bl
+    return materialize(V.vote_totals(V.partition_votes(picked, bl.blocks(), attrs_df, ROUNDS))), bl
 
 
 def band_measures(spark, sf, train=None):
@@ -235,7 +235,7 @@ def q_symm_uncertainty_class(spark, sf):
 def _global_pairs(spark, sf):
     bl, classes = band_global(spark, sf)
     scores, cuts = class_scores(bl, classes)
-    coded = cut_lineage(coded_rows(bl, cuts))
+    coded = materialize(coded_rows(bl, cuts))
     chosen = attrs_frame(spark, bl.attrs).select(F.lit(0).alias("round"), F.lit(0).alias("part"), F.col("idx").alias("c"))
     return scores, pair_su(coded, chosen)
 
@@ -274,7 +274,7 @@ def q_cfs_select(spark, sf):
 
 def q_cfs_mean_size(spark, sf):
     bl, classes, scores, cuts = _band_scores(spark, sf)
-    picked = cut_lineage(cfs_select(bl, classes, scores, cuts).select("round", "part", "idx"))
+    picked = materialize(cfs_select(bl, classes, scores, cuts).select("round", "part", "idx"))
     return present(V.cfs_mean_size(picked, bl.blocks(), len(bl.attrs)))
 
 
@@ -289,10 +289,10 @@ def q_partition_votes_h(spark, sf):
 def q_partition_votes_v(spark, sf):
     e = FX.embedding_wide(spark, sf)
     train, _ = train_test_split(e)
-    train = cut_lineage(train)
+    train = materialize(train)
     attrs = A.typed_attributes(train)
     adf = attrs_frame(spark, attrs)
-    vpart = cut_lineage(vertical_partition(adf, EMB_PARTS, ROUNDS, SEED, 0.0))
+    vpart = materialize(vertical_partition(adf, EMB_PARTS, ROUNDS, SEED, 0.0))
     bl = Blocks(train, attrs, vpart=vpart)
     picked = ig_select(bl, class_list(train), EMB_K)
     return present(V.partition_votes(picked, bl.blocks(), adf, ROUNDS))
@@ -347,9 +347,9 @@ def q_f2_complexity(spark, sf):
 
 def _sweep_inputs(spark, sf):
     totals, bl = band_totals(spark, sf)
-    fm = cut_lineage(band_measures(spark, sf, bl.train))
+    fm = materialize(band_measures(spark, sf, bl.train))
     rng = TH.vote_range(V.vote_stats(totals), False, PARTS, ROUNDS)
-    cands = cut_lineage(TH.candidate_subsets(totals, TH.thresholds(rng), fm))
+    cands = materialize(TH.candidate_subsets(totals, TH.thresholds(rng), fm))
     return totals, rng, cands, len(bl.attrs)
 
 
@@ -533,9 +533,9 @@ def q_relieff_weights(spark, sf):
 
     d = FX.doc_quality(spark, sf)
     train, _ = train_test_split(d)
-    train = cut_lineage(train)
+    train = materialize(train)
     attrs = A.typed_attributes(train)
-    bl = Blocks(train, attrs, assign=cut_lineage(horizontal_assignment(train, DOC_PARTS, ROUNDS, SEED)))
+    bl = Blocks(train, attrs, assign=materialize(horizontal_assignment(train, DOC_PARTS, ROUNDS, SEED)))
     return present(relieff_weights(bl, class_list(train), RELIEF_K))
 
 

@@ -15,6 +15,7 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxPlanStringLength", "100000")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -48,3 +49,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/votesel-tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist and compute a one-shot intermediate whose lineage is short (a scan plus a few
+    operators). If an executor is lost its blocks are recomputed from that short lineage."""
+    out = df.persist()
+    out.count()
+    return out
+
+
+def loop_state(df: DataFrame, step: int) -> DataFrame:
+    """State of an iterative loop, written to the checkpoint folder at every step: the next
+    step's plan starts from a file scan, so neither lineage nor plan size grows. (Persisting
+    instead would nest cached plans, and dropping an older cache invalidates the newer ones.)"""
+    return cut_lineage(df)
