@@ -1,8 +1,6 @@
 import math
 import random
 
-from pyspark.sql import functions as F
-
 from votesel.operators.discretize import mdl_discretize, value_histogram
 
 

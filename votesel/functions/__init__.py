@@ -1,9 +1,3 @@
 """Column-expression helpers (all JVM-side built-ins, no Python UDFs)."""
 
-from votesel.functions.exprs import (  # noqa: F401
-    entropy_of,
-    hash_key,
-    hex_bucket,
-    plogp,
-    pmod,
-)
+from votesel.functions.exprs import hash_key, hex_bucket, hex_fraction, pmod  # noqa: F401

@@ -7,8 +7,6 @@ SQL, so the two must stay in step.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,22 +32,3 @@ def hex_fraction(h: Column) -> Column:
 
 def pmod(a: Column, n) -> Column:
     return F.pmod(a, F.lit(n) if not isinstance(n, Column) else n)
-
-
-def plogp(count: Column, total: Column) -> Column:
-    """-p*log2(p) for one cell, 0 when the count is 0."""
-    p = count / total
-    return F.when(count > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
-
-
-def entropy_of(counts: Sequence[Column]) -> Column:
-    """Entropy in bits of a vector of non-negative counts (0 for an empty vector)."""
-    total = sum(counts[1:], counts[0])
-    terms = [F.when(c > 0, -(c / total) * F.log2(c / total)).otherwise(F.lit(0.0)) for c in counts]
-    return F.when(total > 0, sum(terms[1:], terms[0])).otherwise(F.lit(0.0))
-
-
-def n_positive(counts: Sequence[Column]) -> Column:
-    """How many entries of a count vector are positive."""
-    flags = [F.when(c > 0, 1).otherwise(0) for c in counts]
-    return sum(flags[1:], flags[0])

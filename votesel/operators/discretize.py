@@ -226,11 +226,6 @@ def mdl_discretize(
     return coded, cuts
 
 
-def cut_arrays(cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, cuts array<double>`` sorted, one row per group that has cuts."""
-    return cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-
-
 def code_of(x: Column, cuts: Column) -> Column:
     """0-based interval index of ``x`` given sorted boundaries (``x <= cut`` is left)."""
     return F.coalesce(F.size(F.filter(cuts, lambda c: x > c)), F.lit(0))

@@ -16,7 +16,6 @@ from votesel.functions.exprs import hash_key, hex_fraction
 from votesel.operators.attributes import Attr
 from votesel.operators.ranking import (
     ROWS_PER_TASK,
-    checked_broadcast,
     exact_row_number,
     md5_bucket,
     quantile_bucket,

@@ -7,7 +7,7 @@ oracle in ``votesel.plans.oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from votesel.operators import complexity as C
 from votesel.operators import threshold as TH
 from votesel.operators import votes as V
 from votesel.operators.discretize import class_list, mdl_best, mdl_candidates, mdl_discretize, prepare_histogram, value_histogram
-from votesel.operators.info import class_entropy, nominal_contingency, pair_measures
+from votesel.operators.info import class_entropy, nominal_contingency
 from votesel.operators.selectors import Blocks, cfs_select, class_scores, coded_rows, ig_select, pair_su
 from votesel.operators.split import assign_folds, attrs_frame, horizontal_assignment, train_test_split, vertical_partition
 from votesel.session import materialize
