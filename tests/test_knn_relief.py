@@ -64,3 +64,16 @@ def test_relieff_vs_bruteforce(spark):
         exp = brute_relief(rows, 5)
         for i, e in enumerate(exp):
             assert abs(got[(p, i)] - e) < 1e-9, (p, i, got[(p, i)], e)
+
+
+def test_relieff_sample_size(spark):
+    rnd = random.Random(4)
+    data = [(i, float(c + rnd.random()), "uv"[rnd.randrange(2)], str(c)) for i in range(80) for c in [rnd.randrange(2)]]
+    df = spark.createDataFrame(data, "row_id long, a double, n string, class string")
+    assign = horizontal_assignment(df, 1, rounds=1, seed=1)
+    bl = Blocks(df, typed_attributes(df), assign=assign)
+    full = {r["idx"]: r["weight"] for r in relieff_weights(bl, None, k=3).collect()}
+    every = {r["idx"]: r["weight"] for r in relieff_weights(bl, None, k=3, sample_size=80).collect()}
+    assert all(abs(full[i] - every[i]) < 1e-12 for i in full)  # drawing everyone changes nothing
+    part = {r["idx"]: r["weight"] for r in relieff_weights(bl, None, k=3, sample_size=20).collect()}
+    assert set(part) == {0, 1} and part[0] > part[1]  # the class-driven column outranks the noise

@@ -101,6 +101,7 @@ def select_features(
     evaluate: bool = False,
     models: Sequence[str] = ("SVM", "DT", "NB", "KNN"),
     relief_neighbours: int = 10,
+    relief_sample_size: int | None = None,
 ) -> SelectionResult:
     """Partition-and-vote feature selection (see README for the semantics)."""
     if parts < 1:
@@ -135,7 +136,7 @@ def select_features(
         else:
             from votesel.operators.relief import relieff_select
 
-            picked = relieff_select(bl, classes, k or cfs_k or max(1, m // 2), relief_neighbours)
+            picked = relieff_select(bl, classes, k or cfs_k or max(1, m // 2), relief_neighbours, relief_sample_size, seed)
         picked = materialize(picked.select("round", "part", "idx"))
         res.block_selected[sel] = picked
         votes = materialize(vote_totals(partition_votes(picked, blocks, attrs_df, rounds)))
