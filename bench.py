@@ -46,6 +46,7 @@ def main() -> None:
         "train_test_split": collect(Q.q_train_test_split),
         "horizontal_partition": collect(Q.q_horizontal_partition),
         "knn_1nn": collect(Q.q_knn_1nn),
+        "relieff_weights": collect(Q.q_relieff_weights),
     }
     only = [a for a in sys.argv[1:]]
     times = {}
