@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votesel.operators.ranking import BROADCAST_MAX_ROWS, ROWS_PER_TASK, checked_broadcast, exact_running_sums, quantile_bucket
-from votesel.session import cut_lineage, loop_state, materialize
+from votesel.session import cut_lineage, drop_tables, loop_state, materialize
 
 TIE_DIGITS = 12
 
@@ -170,7 +170,7 @@ def mdl_discretize(
     keys = list(keys)
     cum, roots = prepare_histogram(hist, keys, k, rows_per_task)
     spark = hist.sparkSession
-    cut_parts, cached = [], []
+    cut_parts, cached, tables = [], [], []
     depth = 0
     # every open row carries its interval bounds, so a level is one aggregate + one join
     active = cum.join(roots, [*keys, "node"])
@@ -204,6 +204,7 @@ def mdl_discretize(
                 *[f"CASE WHEN {right} THEN hi{i} ELSE lo{i} + _l{i} END AS hi{i}" for i in range(k)],
             ),
             depth,
+            tables,
         )
     if cut_parts:
         cuts = cut_parts[0]
@@ -213,9 +214,10 @@ def mdl_discretize(
         cuts = spark.createDataFrame([], cum.select(*keys).schema).select(
             *keys, F.lit(None).cast("double").alias("cut"), F.lit(None).cast("int").alias("depth")
         )
-    cuts = cut_lineage(cuts)  # independent of the cached accepted rows, which can now go
+    cuts = cut_lineage(cuts)  # independent of the cached accepted rows and level tables, which can now go
     for c in cached:
         c.unpersist()
+    drop_tables(spark, tables)
     cut_sets = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     coded = cum.join(checked_broadcast(cut_sets), keys, "left").select(
         *keys,

@@ -23,7 +23,7 @@ from votesel.operators.attributes import NUMERIC, Attr
 from votesel.operators.discretize import code_of
 from votesel.operators.info import feature_class_contingency, info_gain, pair_measures, rank_top_k
 from votesel.operators.ranking import checked_broadcast
-from votesel.session import loop_state, materialize
+from votesel.session import cut_lineage, drop_tables, loop_state, materialize
 
 SCOPE = ["round", "part"]
 DIGITS = 9
@@ -168,6 +168,7 @@ def cfs_select(
         *SCOPE, F.lit(0).alias("k"), F.lit(0.0).alias("sum_rcf"), F.lit(0.0).alias("sum_rff"), F.lit(0.0).alias("merit")
     )
     cand, state = materialize(cand), materialize(state)
+    tables: list = []
     step = 0
     # greedy forward search
     while max_steps is None or step < max_steps:
@@ -193,8 +194,9 @@ def cfs_select(
                 F.coalesce("m_new", "merit").alias("merit"),
             ),
             step,
+            tables,
         )
-        cand = loop_state(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks.select(*SCOPE, "c")), step)
+        cand = loop_state(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks.select(*SCOPE, "c")), step, tables)
     # locally predictive features: highest class correlation first, added when no chosen
     # feature correlates with it as much as the class does
     while locally_predictive:
@@ -210,7 +212,8 @@ def cfs_select(
         picks = materialize(picks)
         if picks.isEmpty():
             break
-        cand = loop_state(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks), step)
-    chosen = cand.where("chosen")
+        cand = loop_state(_update_with(bl, coded, cand.withColumn("step_no", F.lit(step)), picks), step, tables)
     order = Window.partitionBy(*SCOPE).orderBy("order_in", "idx")  # a block holds at most m features
-    return chosen.select(*SCOPE, "idx", F.row_number().over(order).alias("step"))
+    chosen = cut_lineage(cand.where("chosen").select(*SCOPE, "idx", F.row_number().over(order).alias("step")))
+    drop_tables(bl.train.sparkSession, tables)  # the result is its own table; the step tables can go
+    return chosen

@@ -42,15 +42,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, track: list | None = None) -> DataFrame:
     """Cut the lineage by writing ``df`` as a parquet table under the shared checkpoint folder
-    and reading it back (one job; survives executor loss like a reliable checkpoint)."""
+    and reading it back (one job; survives executor loss like a reliable checkpoint).
+    The table's path is appended to ``track`` so a loop can drop it when done."""
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/votesel-tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    if track is not None:
+        track.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list) -> None:
+    """Delete written intermediate tables (call only once nothing reads them any more)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    paths.clear()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Persist and compute a one-shot intermediate whose lineage is short (a scan plus a few
     operators). If an executor is lost its blocks are recomputed from that short lineage."""
@@ -59,8 +72,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def loop_state(df: DataFrame, step: int) -> DataFrame:
+def loop_state(df: DataFrame, step: int, track: list | None = None) -> DataFrame:
     """State of an iterative loop, written to the checkpoint folder at every step: the next
     step's plan starts from a file scan, so neither lineage nor plan size grows. (Persisting
     instead would nest cached plans, and dropping an older cache invalidates the newer ones.)"""
-    return cut_lineage(df)
+    return cut_lineage(df, track)
