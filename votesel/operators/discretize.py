@@ -132,7 +132,7 @@ def mdl_best(cands: DataFrame, keys: Sequence[str], k: int, better_encoding: boo
 def prepare_histogram(hist: DataFrame, keys: Sequence[str], k: int, rows_per_task: int = ROWS_PER_TASK):
     """Running class counts ``cn*`` and distinct position ``dpos`` per (keys) in value order,
     plus the root interval of every group."""
-    hist = hist.persist()
+    hist = materialize(hist)
     sizes = hist.groupBy(*keys).count()
     biggest = sizes.agg(F.max("count")).first()[0] or 0
     hb, bucket = quantile_bucket(hist, keys, "value", biggest, rows_per_task)

@@ -32,8 +32,13 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast ``df`` only after counting it: at most ``max_rows`` rows and an estimated
-    ``max_bytes`` (rows x the schema's default row size). Otherwise it stays a shuffle join."""
-    df = df.persist()
+    ``max_bytes`` (rows x the schema's default row size). Otherwise it stays a shuffle join.
+
+    The side is written once as a table (not cached), so it is computed a single time and
+    adds no cache entry that every later query would have to be matched against."""
+    from votesel.session import cut_lineage
+
+    df = cut_lineage(df)
     n = df.count()
     row_bytes = max(int(df._jdf.schema().defaultSize()), 8)
     return F.broadcast(df) if n <= max_rows and n * row_bytes <= max_bytes else df

@@ -65,11 +65,12 @@ def drop_tables(spark: SparkSession, paths: list) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Persist and compute a one-shot intermediate whose lineage is short (a scan plus a few
-    operators). If an executor is lost its blocks are recomputed from that short lineage."""
-    out = df.persist()
-    out.count()
-    return out
+    """Compute an intermediate that several later plans read, once, as a written table.
+
+    Written tables rather than ``persist``: a cached plan is matched against every later
+    query's subtrees during optimization, so a pipeline that keeps many cache entries
+    spends more and more driver time planning; a table is a plain file-scan leaf."""
+    return cut_lineage(df)
 
 
 def loop_state(df: DataFrame, step: int, track: list | None = None) -> DataFrame:
