@@ -8,14 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from votesel.llm.bpe import bpe_encode
 from votesel.llm.common import table
+from votesel.llm.oracles import QUALITY_SQL, SECRETS_SQL
+from votesel.llm.quality import quality_cascade
+from votesel.llm.secrets import secret_report
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade(table(spark, sf_dir, "documents"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
+    "op9_secrets": op9_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality": QUALITY_SQL,
+    "op9_secrets": SECRETS_SQL,
+}
