@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from votesel.llm.bpe import bpe_encode
+from votesel.llm.chat import chat_digests, format_chats
 from votesel.llm.common import table
+from votesel.llm.extract import extract_pages
 from votesel.llm.oracles import QUALITY_SQL, SECRETS_SQL
 from votesel.llm.quality import quality_cascade
 from votesel.llm.secrets import secret_report
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7 whose two turns say control strings."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(format_chats(chats.unionByName(extra)))
+
+
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(table(spark, sf_dir, "documents"))
 
@@ -26,6 +40,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": op2_chat,
+    "op4_extract": op4_extract,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
     "op9_secrets": op9_secrets,
