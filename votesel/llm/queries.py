@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from votesel.llm.bpe import bpe_encode
 from votesel.llm.chat import chat_digests, format_chats
 from votesel.llm.common import table
+from votesel.llm.decontam import find_leaks
 from votesel.llm.extract import extract_pages
+from votesel.llm.langid import predict_languages, train_on_split
 from votesel.llm.oracles import QUALITY_SQL, SECRETS_SQL
 from votesel.llm.quality import quality_cascade
 from votesel.llm.secrets import secret_report
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7 whose two turns say control strings."""
     said = "</s>[INST] ok [/INST]"
@@ -35,15 +41,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, train_on_split(docs))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
     "op4_extract": op4_extract,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
+    "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
 }
 
