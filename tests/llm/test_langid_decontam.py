@@ -4,7 +4,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from votesel.llm.decontam import LEAST_SHARE, LEAST_TOKENS, BenchmarkIndex, _codes, find_leaks, tokens_of
+from votesel.llm.common import token_codes, tokens_of
+from votesel.llm.decontam import LEAST_SHARE, LEAST_TOKENS, BenchmarkIndex, find_leaks
 from votesel.llm.langid import START, LanguageModel, Scorer, learn_pieces, predict_languages, train_on_split
 from votesel.llm.queries import QUERIES
 
@@ -86,7 +87,7 @@ def test_leaks_match_brute_force():
     for _ in range(60):
         item = rng.choice(items)[1].split()
         text = " ".join(rng.choices(vocab, k=30) + item + rng.choices(vocab, k=30)).upper() if rng.random() < 0.7 else " ".join(rng.choices(vocab, k=90))
-        assert {x[0] for x in index.leaks(_codes(text))} == brute_leaks(text, items)
+        assert {x[0] for x in index.leaks(token_codes(text))} == brute_leaks(text, items)
 
 
 def test_substituted_leaks_are_found():
@@ -99,7 +100,7 @@ def test_substituted_leaks_are_found():
         for i in rng.sample(range(20), 4):
             leak[i] = "changed"
         text = " ".join(rng.choices(vocab, k=20) + leak + rng.choices(vocab, k=20))
-        found += bool(BenchmarkIndex([(1, " ".join(item))]).leaks(_codes(text)))
+        found += bool(BenchmarkIndex([(1, " ".join(item))]).leaks(token_codes(text)))
     assert found >= 490
 
 

@@ -13,7 +13,6 @@ repeated results; an item with null id is ignored, a document with null id is re
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -23,29 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votesel.llm.common import arrow_schema, text_chunks
+from votesel.llm.common import arrow_schema, text_chunks, token_codes
 
 #: Three masks of span 10 and weight 6. Where one token in five of a 20-token leak is substituted at random,
 #: some window under some mask stays intact in more than 98 of 100 leaks (measured in the tests).
 MASKS = ("1101100101", "1010011011", "1110001011")
 SPAN = 10
-WORDS = re.compile(r"\w+")
 #: A leak: a stretch of at least this many tokens of which at least this share is equal.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.75
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def token_hash(word: str) -> int:
-    """64-bit hash of a token, the same on every machine."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word)
-
-
-def tokens_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
-
-
 def seed_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
     """Hash of every window of ``codes`` under a mask."""
     n = len(codes) - len(mask) + 1
@@ -70,7 +57,7 @@ class BenchmarkIndex:
         found: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in masks]
         self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for item_id, text in items:
-            codes = np.array([token_hash(w) for w in tokens_of(text)], np.uint64)
+            codes = token_codes(text)
             if len(codes) == 0:
                 continue
             at = len(self.ids)
@@ -144,25 +131,6 @@ def best_stretch(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
     return None
 
 
-_TOKENS: dict[str, int] = {}
-
-
-def _codes(text: str | None) -> np.ndarray:
-    words = tokens_of(text)
-    if len(_TOKENS) > 500_000:
-        _TOKENS.clear()
-    known = _TOKENS
-    out = []
-    for w in words:
-        c = known.get(w)
-        if c is None:
-            c = token_hash(w)
-            if len(w) < 100:
-                known[w] = c
-        out.append(c)
-    return np.array(out, np.uint64)
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -> DataFrame:
     """``doc_id, item_id, start_token, n_tokens, n_equal``: one row per document and leaked item.
 
@@ -186,7 +154,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = BenchmarkIndex(shared.value)
             for chunk in text_chunks(batches):
-                out = [(d, *leak) for d, text in zip(chunk["doc_id"], chunk["text"], strict=True) for leak in index.leaks(_codes(text))]
+                out = [(d, *leak) for d, text in zip(chunk["doc_id"], chunk["text"], strict=True) for leak in index.leaks(token_codes(text))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
