@@ -12,6 +12,8 @@ from votesel.llm.common import table
 from votesel.llm.decontam import find_leaks
 from votesel.llm.extract import extract_pages
 from votesel.llm.langid import predict_languages, train_on_split
+from votesel.llm.linededup import line_report
+from votesel.llm.nearcopies import near_copies
 from votesel.llm.oracles import QUALITY_SQL, SECRETS_SQL
 from votesel.llm.quality import quality_cascade
 from votesel.llm.secrets import secret_report
@@ -29,6 +31,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(chats.unionByName(extra)))
 
 
+def op3_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -50,14 +56,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
+    "op3_nearcopies": op3_nearcopies,
     "op4_extract": op4_extract,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
+    "op10_linededup": op10_linededup,
 }
 
 ORACLES: dict[str, str] = {
