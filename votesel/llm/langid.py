@@ -222,8 +222,12 @@ def train_on_split(docs: DataFrame, vocab_path: str | None = None, sample_rows:
     return learn(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))), pieces)
 
 
+def predict_languages_of(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` with the prediction in ``_found`` (``lang_pred``, ``score``)."""
+    return docs.withColumn("_found", predict_column(docs.sparkSession, model))
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` per row, from the text alone."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.withColumn("found", predict_column(docs.sparkSession, model))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score")
+    found = predict_languages_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_found.lang_pred", "_found.score")

@@ -157,7 +157,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, moved_words: in
     ``_partners`` (long) with the counts."""
     found = deletions(docs, least_words, moved_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"), F.col("n_partners").alias("_n"))
     found = materialize(found)
-    out = docs.join(found, (docs["doc_id"] == found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left")
+    # always a shuffle by document: the deletions grow with the corpus, so their side is never broadcast
+    out = docs.join(found.hint("merge"), (docs["doc_id"] == found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left")
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "\n")
     changed = F.col("_gone").isNotNull()
