@@ -9,9 +9,11 @@ coordinates in expectation, so a text costs one hash per cell plus about K ln K
 coordinate throw on to twice that time.
 
 Signatures are cut into bands; texts that agree on a whole band are candidates. Exact copies are one class
-from the start. In each band bucket the smallest doc_id is the pivot of a star of pairs; pairs are verified
-by exact weighted Jaccard, texts that no star took are dealt a new pivot among themselves until each bucket
-is used up, so no bucket is expanded into all its pairs. Components of the verified links are the classes.
+from the start. In each band bucket the text with the most candidates is the hub of a star of pairs (the
+original of a group of near copies shares more bands with them than they do with each other). Pairs are
+verified by exact weighted Jaccard; members that are not yet in their hub's class meet a new hub in the next
+round. Rounds go on while they find links, so no bucket is expanded into all its pairs. Components of the
+verified links are the classes.
 
 Words are runs of word characters in lower case. A text with one to four words is one shingle. Texts
 without a word and rows with null doc_id are no one's copies. Rows that repeat a doc_id count once.
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from votesel.llm.common import arrow_schema, mix, text_chunks, token_codes
 from votesel.session import materialize
 
-SHINGLE, COORDINATES, ROWS, SIMILARITY = 5, 64, 4, 0.8
-BANDS = COORDINATES // ROWS
+#: 20 bands of 6 coordinates: a pair at similarity 0.8 shares a band with probability 0.998, at 0.5 with 0.27.
+SHINGLE, COORDINATES, ROWS, SIMILARITY = 5, 120, 6, 0.8
 
 
 def cells_of(codes: np.ndarray) -> np.ndarray:
@@ -161,20 +163,30 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ca", "cb").mapInArrow(run, schema)
 
 
-def star_links(entries: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``(a, b)``, a < b, of bucket entries ``(band, doc_id)``.
+def star_links(entries: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links ``(a, b)``, a < b, of bucket entries ``(band, doc_id, weight)``, and their components.
 
-    Each round pairs a bucket's members with its smallest; members that it took leave the bucket, the
-    others meet the next pivot. Ends when no bucket has two members left."""
-    found = None
+    Each round pairs a bucket's members with its hub (highest weight, then smallest doc_id). Members that
+    are in the hub's component leave the bucket; the others and the next hub go on. Ends when no bucket has
+    members left, or a round has verified none of its pairs."""
+    found = labels = None
     while True:
-        pivots = entries.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        star = materialize(entries.join(pivots, "band").where("doc_id > a").select("band", "a", F.col("doc_id").alias("b")))
-        if star.isEmpty():
-            return found if found is not None else star.select("a", "b")
-        links = materialize(verified(star.select("a", "b").distinct(), cells, similarity))
+        hubs = entries.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n > 1")
+        hubs = hubs.select("band", (-F.col("top.minus")).alias("hub"))
+        star = materialize(entries.join(hubs, "band").where("doc_id <> hub"))
+        pairs = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+        links = materialize(verified(pairs, cells, similarity))
+        if links.isEmpty():
+            break
         found = links if found is None else found.unionByName(links)
-        entries = star.join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("doc_id"))
+        labels = components(found)
+        own = labels.select("doc_id", F.col("label").alias("own"))
+        theirs = labels.select(F.col("doc_id").alias("hub"), F.col("label").alias("theirs"))
+        apart = star.join(own, "doc_id", "left").join(theirs, "hub", "left").where(F.coalesce("own", "doc_id") != F.coalesce("theirs", "hub"))
+        entries = materialize(apart.select("band", "doc_id", "weight"))
+    if found is None:
+        return links, components(links)
+    return found, labels
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,12 +216,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = materialize(signatures(rows))
     texts = materialize(signed.groupBy("k1", "k2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("text_id")))
     entries = texts.select(F.explode("bands").alias("band"), F.col("text_id").alias("doc_id"))
-    crowded = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    entries = materialize(entries.join(crowded, "band", "left_semi"))
-    members = entries.select("doc_id").distinct()
-    known = rows.where("text IS NOT NULL").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = materialize(star_links(entries, materialize(cell_table(known)), similarity))
-    labels = components(links)
+    crowded = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    entries = materialize(entries.join(crowded, "band"))
+    members = materialize(entries.groupBy("doc_id").agg(F.sum("n").alias("weight")))
+    entries = entries.select("band", "doc_id").join(members, "doc_id")
+    known = rows.where("text IS NOT NULL").join(members.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    links, labels = star_links(entries, materialize(cell_table(known)), similarity)
     degree = links.select(F.col("a").alias("text_id")).unionByName(links.select(F.col("b").alias("text_id"))).groupBy("text_id").agg(F.count("*").alias("n_links"))
     classes = texts.select("k1", "k2", "text_id").join(labels.select(F.col("doc_id").alias("text_id"), "label"), "text_id", "left").join(degree, "text_id", "left")
     of = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "text_id", F.coalesce("label", "text_id").alias("class_id"), "n_links").dropDuplicates(["doc_id"])
