@@ -17,6 +17,7 @@ from votesel.llm.nearcopies import near_copies
 from votesel.llm.oracles import QUALITY_SQL, SECRETS_SQL
 from votesel.llm.quality import quality_cascade
 from votesel.llm.secrets import secret_report
+from votesel.llm.substrings import remove_repeats
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), ids=False)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearcopies": op3_nearcopies,
     "op4_extract": op4_extract,
     "op5_quality": op5_quality,
+    "op6_substrings": op6_substrings,
     "op7_bpe": op7_bpe,
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
