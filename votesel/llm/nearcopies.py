@@ -170,10 +170,12 @@ def star_links(entries: DataFrame, cells: DataFrame, similarity: float = SIMILAR
     are in the hub's component leave the bucket; the others and the next hub go on. Ends when no bucket has
     members left, or a round has verified none of its pairs."""
     found = labels = None
+    entries = entries.withColumn("own", F.col("doc_id"))
     while True:
-        hubs = entries.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n > 1")
-        hubs = hubs.select("band", (-F.col("top.minus")).alias("hub"))
-        star = materialize(entries.join(hubs, "band").where("doc_id <> hub"))
+        top = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "own")).alias("top")
+        hubs = entries.groupBy("band").agg(top, F.count("*").alias("n")).where("n > 1")
+        hubs = hubs.select("band", (-F.col("top.minus")).alias("hub"), F.col("top.own").alias("theirs"))
+        star = materialize(entries.join(hubs, "band").where("own <> theirs").select("band", "doc_id", "weight", "hub"))
         pairs = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
         links = materialize(verified(pairs, cells, similarity))
         if links.isEmpty():
@@ -182,8 +184,8 @@ def star_links(entries: DataFrame, cells: DataFrame, similarity: float = SIMILAR
         labels = components(found)
         own = labels.select("doc_id", F.col("label").alias("own"))
         theirs = labels.select(F.col("doc_id").alias("hub"), F.col("label").alias("theirs"))
-        apart = star.join(own, "doc_id", "left").join(theirs, "hub", "left").where(F.coalesce("own", "doc_id") != F.coalesce("theirs", "hub"))
-        entries = materialize(apart.select("band", "doc_id", "weight"))
+        apart = star.join(own, "doc_id", "left").join(theirs, "hub", "left").withColumn("own", F.coalesce("own", "doc_id"))
+        entries = materialize(apart.where(F.col("own") != F.coalesce("theirs", "hub")).select("band", "doc_id", "weight", "own"))
     if found is None:
         return links, components(links)
     return found, labels
