@@ -210,19 +210,25 @@ def _dictionary(group: pd.DataFrame) -> pd.DataFrame:
     return _found(out)
 
 
+CUT = "bucket int, phrases binary, cut binary"
+
+
 def _cut_phrases(n_buckets: int):
     """Bytes of the open phrases, from the documents that hold them, split by trigger into buckets."""
+    arrow = arrow_schema(CUT)
 
-    def run(key, docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(docs) and len(asked):
-            rows, data = unpack(asked["data"]), docs["text"].iloc[0].encode()
-            bucket = (rows["trigger"] % np.uint64(n_buckets)).astype(np.int64)
-            for b in np.unique(bucket):
-                part = rows[bucket == b]
-                cut = b"".join([data[s : s + n - 1 + WIDTH] for s, n in zip(part["start"].tolist(), part["n"].tolist())])
-                out.append((int(b), part.tobytes(), cut))
-        return pd.DataFrame(out, columns=["bucket", "phrases", "cut"]).astype({"bucket": "int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            out = []
+            for text, asked in zip(chunk["text"], chunk["asked"], strict=True):
+                rows, data = unpack(asked), text.encode()
+                bucket = (rows["trigger"] % np.uint64(n_buckets)).astype(np.int64)
+                for b in np.unique(bucket):
+                    part = rows[bucket == b]
+                    cut = b"".join([data[s : s + n - 1 + WIDTH] for s, n in zip(part["start"].tolist(), part["n"].tolist())])
+                    out.append((int(b), part.tobytes(), cut))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
     return run
 
@@ -264,8 +270,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     n_buckets = max(8, size // BUCKET_BYTES)
     shipped = named.mapInArrow(_parse(n_buckets), SHIPPED)
     found = materialize(shipped.groupBy("bucket").applyInPandas(_dictionary, FOUND))
-    asked = found.where("kind = 2").select("doc_id", "text_hash", "data")
-    cut = named.groupBy("doc_id", "text_hash").cogroup(asked.groupBy("doc_id", "text_hash")).applyInPandas(_cut_phrases(n_buckets), "bucket int, phrases binary, cut binary")
+    asked = found.where("kind = 2").groupBy("doc_id", "text_hash").agg(F.collect_list("data").alias("asked"))
+    cut = named.join(asked.hint("merge"), ["doc_id", "text_hash"]).select("text", "asked").mapInArrow(_cut_phrases(n_buckets), CUT)
     more = cut.groupBy("bucket").applyInPandas(_order_suffixes, FOUND)
     return found.where("kind = 1").unionByName(more).select("doc_id", "text_hash", "data")
 
