@@ -74,19 +74,12 @@ def test_vertical_partition_and_overlap(spark):
 
 
 def test_window_not_used_on_whole_class_when_big(spark):
-    from votesel.operators import ranking
+    from votesel.operators.split import _order_bucket
 
-    old = ranking.ROWS_PER_TASK
-    try:
-        ranking.ROWS_PER_TASK = 100
-        import votesel.operators.split as split
-
-        split.ROWS_PER_TASK = 100
-        band = lineitem_band(spark, SF_SMALL)
-        f_small = {r["row_id"]: r["fold"] for r in assign_folds(band).collect()}
-    finally:
-        ranking.ROWS_PER_TASK = old
-        split.ROWS_PER_TASK = old
+    band = lineitem_band(spark, SF_SMALL)
+    _, bucket = _order_bucket(band, ["class"], "row_id", band.count(), rows_per_task=100)
+    assert bucket is not None
+    f_small = {r["row_id"]: r["fold"] for r in assign_folds(band, rows_per_task=100).collect()}
     w = Window.partitionBy("class").orderBy("row_id")
     ref = band.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(3)))
     assert f_small == {r["row_id"]: r["fold"] for r in ref.collect()}

@@ -11,17 +11,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from votesel.operators.ranking import ROWS_PER_TASK, checked_broadcast, exact_row_number
+from votesel.session import materialize
 
 NUMERIC = "numeric"
 NOMINAL = "nominal"
 CLASS = "class"
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True)
 class Attr:
     idx: int
@@ -46,11 +52,11 @@ def infer_attributes_df(
     types = dict(df.dtypes)
     str_cols = [c for c in feats if types[c] == "string"]
     if str_cols and not strict:
-        one = df.agg(F.min_by(F.struct(*[F.col(c) for c in str_cols]), F.col(id_col)).alias("r"))
+        one = df.agg(F.min_by(F.struct(*[column(c) for c in str_cols]), F.col(id_col)).alias("r"))
         probe = {c: F.col("r").getField(c).try_cast("double").isNotNull() for c in str_cols}
     elif str_cols:
-        one = df.agg(*[F.count_if(F.col(c).try_cast("double").isNull()).alias(c) for c in str_cols])
-        probe = {c: F.col(c) == 0 for c in str_cols}
+        one = df.agg(*[F.count_if(column(c).try_cast("double").isNull()).alias(c) for c in str_cols])
+        probe = {c: column(c) == 0 for c in str_cols}
     else:
         one = df.sparkSession.range(1)
         probe = {}
@@ -84,7 +90,7 @@ def typed_attributes(df: DataFrame, label: str = "class", id_col: str = "row_id"
 def cast_numeric(df: DataFrame, attrs: Sequence[Attr]) -> DataFrame:
     """Cast numeric attributes to double. A value that does not parse raises (ANSI), as in the reference."""
     num = {a.name for a in attrs if a.kind == NUMERIC}
-    return df.select(*[F.col(c).cast("double").alias(c) if c in num else F.col(c) for c in df.columns])
+    return df.select(*[column(c).cast("double").alias(c) if c in num else column(c) for c in df.columns])
 
 
 def class_counts(df: DataFrame, label: str = "class") -> DataFrame:
@@ -122,8 +128,8 @@ def melt_cells(df: DataFrame, attrs: Sequence[Attr], label: str = "class", id_co
         F.struct(
             F.lit(a.idx).alias("idx"),
             F.lit(a.name).alias("feature"),
-            (F.col(a.name).cast("double") if a.kind == NUMERIC else F.lit(None).cast("double")).alias("num"),
-            (F.col(a.name).cast("string") if a.kind == NOMINAL else F.lit(None).cast("string")).alias("cat"),
+            (column(a.name).cast("double") if a.kind == NUMERIC else F.lit(None).cast("double")).alias("num"),
+            (column(a.name).cast("string") if a.kind == NOMINAL else F.lit(None).cast("string")).alias("cat"),
         )
         for a in attrs
     ]
@@ -139,7 +145,7 @@ def nominal_domains(df: DataFrame, attrs: Sequence[Attr], label: str = "class",
     if not nom:
         return df.sparkSession.createDataFrame([], schema)
     distinct = melt_cells(df, nom, label, id_col).select("feature", F.col("cat").alias("value")).distinct()
-    distinct = distinct.persist()
+    distinct = materialize(distinct)
     biggest = distinct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
     bucket = F.substring("value", 1, 2) if biggest > ROWS_PER_TASK else None
     ranked = exact_row_number(distinct, ["feature"], [F.col("value")], bucket, out="code")
@@ -169,5 +175,5 @@ def project_selected(
 ) -> DataFrame:
     """Keep the selected features in attribute order, class last."""
     keep = set(features)
-    cols = [a.name for a in sorted(attrs, key=lambda a: a.idx) if a.name in keep]
+    cols = [column(a.name) for a in sorted(attrs, key=lambda a: a.idx) if a.name in keep]
     return df.select(id_col, *cols, label)

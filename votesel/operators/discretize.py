@@ -8,7 +8,7 @@ Input is the long numeric cells of one or many *scopes* (a scope is a
 * running class counts in value order (``exact_running_sums``: bucketed, so a
   feature with a huge number of distinct values is still spread over tasks);
 * one Spark job per tree level for *all* scopes and features at once: each open
-  interval (a node of a binary tree, ids 1, 2/3, 4..7, ...) finds its best
+  interval (a node, named by its left end: open intervals never overlap) finds its best
   boundary with ``min_by`` over its candidates, applies the MDL test, and the
   accepted ones split. The loop ends when no interval splits.
 
@@ -138,13 +138,13 @@ def prepare_histogram(hist: DataFrame, keys: Sequence[str], k: int, rows_per_tas
     hb, bucket = quantile_bucket(hist, keys, "value", biggest, rows_per_task)
     counts = [f"n{i}" for i in range(k)]
     cum = exact_running_sums(hb, keys, [F.col("value")], counts, bucket, prefix="c", position="dpos")
-    cum = cum.selectExpr(*keys, "value", "dpos", *counts, *[f"cn{i}" for i in range(k)], "CAST(1 AS BIGINT) AS node")
+    cum = cum.selectExpr(*keys, "value", "dpos", *counts, *[f"cn{i}" for i in range(k)], "CAST(0 AS BIGINT) AS node")
     roots = hist.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("hi_d"), *[F.sum(f"n{i}").alias(f"hi{i}") for i in range(k)]
     )
     roots = roots.selectExpr(
         *keys,
-        "CAST(1 AS BIGINT) AS node",
+        "CAST(0 AS BIGINT) AS node",
         "CAST(0 AS BIGINT) AS lo_d",
         "CAST(hi_d AS BIGINT) AS hi_d",
         *[f"CAST(0 AS BIGINT) AS lo{i}" for i in range(k)],
@@ -197,7 +197,7 @@ def mdl_discretize(
                 "value",
                 "dpos",
                 *counts,
-                f"node * 2 + CASE WHEN {right} THEN 1 ELSE 0 END AS node",
+                f"CASE WHEN {right} THEN CAST(_cd AS BIGINT) ELSE node END AS node",
                 f"CASE WHEN {right} THEN _cd ELSE lo_d END AS lo_d",
                 f"CASE WHEN {right} THEN hi_d ELSE _cd END AS hi_d",
                 *[f"CASE WHEN {right} THEN lo{i} + _l{i} ELSE lo{i} END AS lo{i}" for i in range(k)],

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votesel.operators.attributes import NUMERIC, Attr
+from votesel.operators.attributes import NUMERIC, Attr, column
 from votesel.operators.discretize import code_of
 from votesel.operators.info import feature_class_contingency, info_gain, pair_measures, rank_top_k
 from votesel.operators.ranking import checked_broadcast
@@ -64,8 +64,8 @@ def _melt_scoped(rows: DataFrame, attrs: Sequence[Attr]) -> DataFrame:
     cells = [
         F.struct(
             F.lit(a.idx).alias("idx"),
-            (F.col(a.name).cast("double") if a.kind == NUMERIC else F.lit(None).cast("double")).alias("num"),
-            (F.lit(None).cast("string") if a.kind == NUMERIC else F.col(a.name).cast("string")).alias("cat"),
+            (column(a.name).cast("double") if a.kind == NUMERIC else F.lit(None).cast("double")).alias("num"),
+            (F.lit(None).cast("string") if a.kind == NUMERIC else column(a.name).cast("string")).alias("cat"),
         )
         for a in attrs
     ]
@@ -100,9 +100,9 @@ def coded_rows(bl: Blocks, cuts: DataFrame) -> DataFrame:
     for a in sorted(bl.attrs, key=lambda a: a.idx):
         if a.kind == NUMERIC:
             cuts_a = F.coalesce(F.element_at(F.col("cutmap"), F.lit(a.idx)), F.array().cast("array<double>"))
-            codes.append(code_of(F.col(a.name).cast("double"), cuts_a).cast("string"))
+            codes.append(code_of(column(a.name).cast("double"), cuts_a).cast("string"))
         else:
-            codes.append(F.col(a.name).cast("string"))
+            codes.append(column(a.name).cast("string"))
     return rows.select(*SCOPE, F.array(*codes).alias("codes"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votesel.functions.exprs import hash_key, hex_fraction
-from votesel.operators.attributes import Attr
+from votesel.operators.attributes import Attr, column
 from votesel.operators.ranking import (
     ROWS_PER_TASK,
     exact_row_number,
@@ -26,27 +26,31 @@ def _max_class_rows(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def _order_bucket(df: DataFrame, keys: Sequence[str], order_col: str, biggest: int) -> tuple[DataFrame, Column | None]:
+def _order_bucket(
+    df: DataFrame, keys: Sequence[str], order_col: str, biggest: int, rows_per_task: int = ROWS_PER_TASK
+) -> tuple[DataFrame, Column | None]:
     """Order-preserving bucket for ``order_col``: hex prefix for md5 strings, quantiles for numbers."""
-    if biggest <= ROWS_PER_TASK:
+    if biggest <= rows_per_task:
         return df, None
     if dict(df.dtypes)[order_col] == "string":
-        return df, md5_bucket(F.col(order_col), biggest)
+        return df, md5_bucket(F.col(order_col), biggest, rows_per_task)
     tmp = df.withColumn("_ord", F.col(order_col).cast("double"))
-    tmp, bucket = quantile_bucket(tmp, keys, "_ord", biggest)
+    tmp, bucket = quantile_bucket(tmp, keys, "_ord", biggest, rows_per_task)
     return tmp, bucket
 
 
-def assign_folds(df: DataFrame, label: str = "class", id_col: str = "row_id", folds: int = 3) -> DataFrame:
+def assign_folds(
+    df: DataFrame, label: str = "class", id_col: str = "row_id", folds: int = 3, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Add ``fold = (rank of the row inside its class by row_id - 1) mod folds``.
 
     The reference numbers each class in file order and sends index % 3 == 0 to test.
     """
     biggest = _max_class_rows(df, [label])
-    b, bucket = _order_bucket(df, [label], id_col, biggest)
+    b, bucket = _order_bucket(df, [label], id_col, biggest, rows_per_task)
     ranked = exact_row_number(b, [label], [F.col(id_col)], bucket, out="_rn")
     out = ranked.withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int"))
-    return out.select(*df.columns, "fold")
+    return out.select(*[column(c) for c in df.columns], "fold")
 
 
 def train_test_split(

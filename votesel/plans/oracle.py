@@ -247,6 +247,10 @@ ORACLES["csv_scan"] = q([BAND, TEXT], "SELECT * FROM text_t")
 ORACLES["class_first"] = q(
     [BAND, TEXT], "SELECT row_id, f[2] AS att_0, f[3] AS att_1, f[4] AS att_2, f[5] AS att_3, f[1] AS class FROM parsed_cf WHERE len(f) = 5"
 )
+ORACLES["text_file_scan"] = q([BAND, TEXT], "SELECT att_0, att_1, att_2, att_3, class FROM text_t WHERE att_1 <> '7'")
+ORACLES["quarantine_lines"] = q(
+    [BAND], "SELECT concat_ws(',', CAST(qty AS BIGINT), CAST(line AS BIGINT), flag, class) AS value, CAST(4 AS BIGINT) AS n_fields FROM band WHERE line = 7"
+)
 ORACLES["infer_attributes"] = q(
     [BAND, TEXT, "first_row AS (SELECT * FROM text_t ORDER BY row_id LIMIT 1)"],
     " UNION ALL ".join(
@@ -303,9 +307,7 @@ vpart AS (
   SELECT round, CAST(p.part AS BIGINT), CAST(idx AS BIGINT), feature, shared FROM va CROSS JOIN (SELECT unnest(generate_series(0, {EMB_PARTS - 1})) AS part) p WHERE shared)"""
 
 
-ORACLES["vertical_partition"] = q([ROUNDS_CTE, _vpart(0.0)], "SELECT * FROM vpart")
-ORACLES["vertical_overlap"] = q([ROUNDS_CTE, _vpart(OVERLAP)], "SELECT * FROM vpart")
-
+# set below, where the embedding CTEs are defined: vertical_partition, vertical_overlap
 ORACLES["contingency"] = q(
     [BAND, FOLDS, TRAIN, ROUNDS_CTE, ASSIGN, SCOPED, cells_cte("scoped", BAND_NUM, BAND_NOM)],
     "SELECT CAST(round AS BIGINT) AS round, part, CAST(idx AS BIGINT) AS idx, cat AS code, class, count(*) AS n FROM cells WHERE cat IS NOT NULL GROUP BY ALL",
@@ -362,25 +364,45 @@ ORACLES["part_stats"] = q(
 EMB = "emb AS (SELECT vec_id AS row_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS att_{i}" for i in range(64)) + ", CAST(label AS VARCHAR) AS class FROM embeddings)"
 EMB_FOLDS = "efolds AS (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY row_id) - 1) % 3 AS fold FROM emb)"
 EMB_TRAIN = "etrain AS (SELECT 0 AS round, 0 AS part, * EXCLUDE (fold) FROM efolds WHERE fold <> 0)"
+EMB_HELD = cells_cte("emb", EMB_FEATS, [], scoped=False) + ", held AS (SELECT idx, count(num) AS n_values, round(min(num), 6) AS lowest, round(max(num), 6) AS highest FROM cells GROUP BY idx)"
+for _name, _overlap in (("vertical_partition", 0.0), ("vertical_overlap", OVERLAP)):
+    ORACLES[_name] = q([ROUNDS_CTE, _vpart(_overlap), EMB, EMB_HELD], "SELECT v.*, h.n_values, h.lowest, h.highest FROM vpart v JOIN held h ON h.idx = v.idx")
 EMB_FEATS_CTE = "efeats AS (SELECT unnest(generate_series(0, 63)) AS idx)"
-ORACLES["partition_votes_v"] = q(
-    [EMB, EMB_FOLDS, EMB_TRAIN, cells_cte("etrain", EMB_FEATS, [])]
-    + mdl_ctes(EMB_CLASSES)
-    + ct_ctes(EMB_CLASSES)
-    + [
-        ROUNDS_CTE,
-        _vpart(0.0),
-        EMB_FEATS_CTE,
-        f"""vpicked AS (SELECT round, part, idx FROM (
+
+
+def _vertical_votes(overlap: float) -> list[str]:
+    return (
+        [EMB, EMB_FOLDS, EMB_TRAIN, cells_cte("etrain", EMB_FEATS, [])]
+        + mdl_ctes(EMB_CLASSES)
+        + ct_ctes(EMB_CLASSES)
+        + [
+            ROUNDS_CTE,
+            _vpart(overlap),
+            EMB_FEATS_CTE,
+            f"""vpicked AS (SELECT round, part, idx FROM (
               SELECT v.round, v.part, v.idx, row_number() OVER (PARTITION BY v.round, v.part ORDER BY round(s.ig, 9) DESC, v.idx) AS rk
               FROM vpart v JOIN scores s ON s.idx = v.idx) WHERE rk <= {EMB_K})""",
-        "vblocks AS (SELECT DISTINCT round, part FROM vpart)",
-        """vremoved AS (SELECT b.round, b.part, f.idx FROM vblocks b CROSS JOIN efeats f
+            "vblocks AS (SELECT DISTINCT round, part FROM vpart)",
+            """vremoved AS (SELECT b.round, b.part, f.idx FROM vblocks b CROSS JOIN efeats f
               WHERE NOT EXISTS (SELECT 1 FROM vpicked p WHERE p.round = b.round AND p.part = b.part AND p.idx = f.idx))""",
-    ],
+        ]
+    )
+
+
+ORACLES["partition_votes_v"] = q(
+    _vertical_votes(0.0),
     "SELECT CAST(r.round AS BIGINT) AS round, CAST(f.idx AS BIGINT) AS idx, 'att_' || f.idx AS feature, CAST(coalesce(v.votes, 0) AS BIGINT) AS votes "
     "FROM efeats f CROSS JOIN rounds r LEFT JOIN (SELECT round, idx, count(*) AS votes FROM vremoved GROUP BY ALL) v ON v.round = r.round AND v.idx = f.idx",
 )
+ORACLES["run_selection_vertical"] = " UNION ALL ".join(
+    "("
+    + q(
+        _vertical_votes(overlap),
+        f"SELECT CAST({overlap} AS DOUBLE) AS overlap, CAST(f.idx AS BIGINT) AS idx, CAST(count(v.idx) AS BIGINT) AS votes FROM efeats f LEFT JOIN vremoved v ON v.idx = f.idx GROUP BY f.idx",
+    )
+    + ")"
+    for overlap in (0.0, OVERLAP)
+)
 
 ORACLES["fisher_ratio"] = q(complexity_ctes(), f"SELECT CAST(idx AS BIGINT) AS idx, feature, {rnd('ratio')} AS ratio FROM fisher")
 ORACLES["f1_complexity"] = q(complexity_ctes() + ["mr AS (SELECT max(ratio) AS max_ratio FROM fisher)"], f"SELECT {rnd(F1_EXPR)} AS f1 FROM mr")
@@ -421,10 +443,24 @@ DOC_SCALED = (
 DOC_SPLIT = "dfolds AS (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY row_id) - 1) % 3 AS fold FROM sdocs)"
 D2 = " + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in DOC_NUM)
 KNN = f"""knn AS (
-  SELECT q.row_id, q.class AS truth, arg_min(t.class, (round({D2}, 12), t.row_id)) AS prediction
+  SELECT q.row_id, q.class AS truth, arg_min(t.class, ({D2}, t.row_id)) AS prediction
   FROM dfolds q JOIN dfolds t ON q.fold = 0 AND t.fold <> 0 GROUP BY q.row_id, q.class)"""
 ORACLES["knn_1nn"] = q([DOC, DOC_MM, DOC_SCALED, DOC_SPLIT, KNN], "SELECT row_id, prediction FROM knn")
 ORACLES["accuracy"] = q([DOC, DOC_MM, DOC_SCALED, DOC_SPLIT, KNN], "SELECT round(avg(CASE WHEN prediction = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM knn")
+def _order_index(col: str, name: str) -> str:
+    """Values of a column by falling count, then value, from 0; ``k`` values in all."""
+    return f"{name} AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS i, count(*) OVER () AS k FROM (SELECT {col} AS value, count(*) AS n FROM docs GROUP BY {col}))"
+
+
+ORACLES["prep_pipeline"] = q(
+    [DOC, DOC_MM, DOC_SCALED, _order_index("lang", "li"), _order_index("source", "si"), _order_index("class", "ci")],
+    "SELECT s.row_id, CAST(ci.i AS DOUBLE) AS label, CAST(v.slot AS BIGINT) AS slot, round(v.value, 6) AS value FROM sdocs s JOIN docs d ON d.row_id = s.row_id JOIN ci ON ci.value = s.class "
+    "JOIN ("
+    + " UNION ALL ".join(f"SELECT row_id, {i} AS slot, {c} AS value FROM sdocs" for i, c in enumerate(DOC_NUM))
+    + f" UNION ALL SELECT d.row_id, {len(DOC_NUM)} + a.i, CASE WHEN a.value = d.lang THEN 1.0 ELSE 0.0 END FROM docs d JOIN li a ON a.i < a.k - 1"
+    + f" UNION ALL SELECT d.row_id, {len(DOC_NUM)} + (SELECT count(*) - 1 FROM li) + a.i, CASE WHEN a.value = d.source THEN 1.0 ELSE 0.0 END FROM docs d JOIN si a ON a.i < a.k - 1"
+    + ") v ON v.row_id = s.row_id",
+)
 ORACLES["minmax_scale"] = q(
     [DOC, DOC_MM], "SELECT row_id, " + ", ".join(f"round(CASE WHEN mx_{c} = mn_{c} THEN 0.5 ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) END, 6) AS {c}" for c in DOC_NUM) + " FROM docs, mm"
 )

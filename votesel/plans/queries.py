@@ -7,6 +7,8 @@ oracle in ``votesel.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +21,9 @@ from votesel.operators.discretize import class_list, mdl_best, mdl_candidates, m
 from votesel.operators.info import class_entropy, nominal_contingency
 from votesel.operators.selectors import Blocks, cfs_select, class_scores, coded_rows, ig_select, pair_su
 from votesel.operators.split import assign_folds, attrs_frame, horizontal_assignment, train_test_split, vertical_partition
-from votesel.session import materialize
+from votesel.session import ensure_checkpoint_dir, materialize
 from votesel.sources import fixtures as FX
-from votesel.sources.text import parse_lines
+from votesel.sources.text import parse_lines, read_text_table
 
 # Fixed parameters of the registered queries (the oracle SQL uses the same values).
 PARTS = 4
@@ -110,6 +112,23 @@ def q_class_first(spark, sf):
     return present(text_table(spark, sf, class_first=True))
 
 
+def _text_files(spark, sf):
+    """Rows and quarantined lines of text files written from the ragged lines."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/votesel-text/{uuid.uuid4().hex}"
+    FX.ragged_lines(spark, sf).write.text(path)
+    return read_text_table(spark, path, n_fields=5)
+
+
+def q_text_file_scan(spark, sf):
+    rows, _ = _text_files(spark, sf)
+    return present(rows.drop("row_id"))
+
+
+def q_quarantine_lines(spark, sf):
+    _, bad = _text_files(spark, sf)
+    return present(bad.drop("row_id"))
+
+
 def q_infer_attributes(spark, sf):
     return present(A.infer_attributes_df(text_table(spark, sf)))
 
@@ -170,17 +189,21 @@ def q_horizontal_partition(spark, sf):
     return present(horizontal_assignment(band_train(spark, sf), PARTS, ROUNDS, SEED))
 
 
-def _emb_attrs_df(spark, sf):
+def _emb_parts(spark, sf, overlap):
+    """The vertical partitioning with the value count and range of every feature dealt."""
     e = FX.embedding_wide(spark, sf)
-    return attrs_frame(spark, A.typed_attributes(e))
+    attrs = A.typed_attributes(e)
+    vpart = vertical_partition(attrs_frame(spark, attrs), EMB_PARTS, ROUNDS, SEED, overlap)
+    held = A.melt_cells(e, attrs).groupBy("idx").agg(F.count("num").alias("n_values"), F.min("num").alias("lowest"), F.max("num").alias("highest"))
+    return vpart.join(held, "idx")
 
 
 def q_vertical_partition(spark, sf):
-    return present(vertical_partition(_emb_attrs_df(spark, sf), EMB_PARTS, ROUNDS, SEED, 0.0))
+    return present(_emb_parts(spark, sf, 0.0))
 
 
 def q_vertical_overlap(spark, sf):
-    return present(vertical_partition(_emb_attrs_df(spark, sf), EMB_PARTS, ROUNDS, SEED, OVERLAP))
+    return present(_emb_parts(spark, sf, OVERLAP))
 
 
 # ------------------------------------------------------------------ information measures
@@ -395,6 +418,19 @@ def q_run_selection(spark, sf):
     return spark.createDataFrame(rows, "selector string, measure string, feature string")
 
 
+def q_run_selection_vertical(spark, sf):
+    """The whole vertical run over the embedding columns, without and with shared features."""
+    from votesel.plans.pipeline import select_features
+
+    out = []
+    for overlap in (0.0, OVERLAP):
+        res = select_features(
+            FX.embedding_wide(spark, sf), parts=EMB_PARTS, selectors=("IG",), measures=("F2",), k=EMB_K, rounds=ROUNDS, seed=SEED, vertical=True, overlap=overlap
+        )
+        out.append(res.votes["IG"].select(F.lit(overlap).alias("overlap"), "idx", "votes"))
+    return present(out[0].unionByName(out[1]))
+
+
 def q_run_report(spark, sf):
     from votesel.plans.pipeline import run_report_frame, select_features
 
@@ -484,7 +520,8 @@ def q_prep_pipeline(spark, sf):
     d = FX.doc_quality(spark, sf)
     attrs = A.typed_attributes(d)
     model, _ = prep_pipeline(d, attrs, [a.name for a in attrs])
-    return model.transform(d).select("row_id", "label", vector_to_array("features").alias("features"))
+    t = model.transform(d).select("row_id", "label", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return present(t)
 
 
 def _eval(spark, sf, models):

@@ -55,12 +55,14 @@ def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedding_wide(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
-    """one double column per embedding dimension, class = label (vertical mode input)."""
+def embedding_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one double column per embedding dimension (as many as the longest vector has), class = label
+    (vertical mode input)."""
     emb = _table(spark, sf_dir, "embeddings")
+    dims = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
     return emb.select(
         F.col("vec_id").alias("row_id"),
-        *[F.col("embedding").getItem(i).cast("double").alias(f"att_{i}") for i in range(dims)],
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"att_{i}") for i in range(dims)],
         F.col("label").cast("string").alias("class"),
     )
 
@@ -102,6 +104,13 @@ def band_lines(spark: SparkSession, sf_dir: str, class_first: bool = False) -> D
     return b.select("row_id", F.concat_ws(",", *parts).alias("value"))
 
 
+def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines ``value`` of the band table in which every seventh line item of an order lacks its status."""
+    b = lineitem_band(spark, sf_dir)
+    ends = [F.col("flag"), F.when(F.col("line") != 7, F.col("status")), F.col("class")]  # concat_ws leaves null out
+    return b.select(F.concat_ws(",", F.col("qty").cast("bigint"), F.col("line").cast("bigint"), *ends).alias("value"))
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items labelled by their order key: single-line orders are one-row classes
     (input for the rare-class filter)."""
