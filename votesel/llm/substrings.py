@@ -25,8 +25,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,22 +147,46 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([begin[first], top[np.r_[first[1:] - 1, len(begin) - 1]]], axis=1).astype("<u4")
 
 
-def _by_doc(rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Rows of each text: doc id, text hash, rows by start."""
+def _by_text(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in (doc, text, start) order, and the place of each text's first row (the end as well)."""
     if len(rows) == 0:
-        return
+        return rows, np.zeros(1, np.int64)
     rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"]))]
-    cuts = np.flatnonzero(np.r_[True, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1]), True])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield int(rows["doc"][a]), int(rows["text"][a]), rows[a:b]
+    new = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1])
+    return rows, np.flatnonzero(np.r_[True, new, True])
+
+
+def _binaries(raw: bytes, cuts: np.ndarray) -> pa.Array:
+    """Arrow array of the byte strings between the cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)])
 
 
 SHIPPED = "bucket int, kind int, doc_id long, text_hash long, data binary"
 FOUND = "doc_id long, text_hash long, kind int, data binary"
+#: A phrase that its document is asked for.
+ASKED = np.dtype([("trigger", "<u8"), ("start", "<u4"), ("n", "<u2")])
+
 
+def _found(kind: int, rows: np.ndarray, cuts: np.ndarray, data: pa.Array) -> pa.Table:
+    """One row per text of ``rows`` (in order, cut by text)."""
+    first = rows[cuts[:-1]]
+    columns = [pa.array(first["doc"].copy()), pa.array(first["text"].copy()), pa.array(np.full(len(first), kind, np.int32)), data]
+    return pa.Table.from_arrays(columns, schema=arrow_schema(FOUND))
 
-def _found(out: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=["doc_id", "text_hash", "kind", "data"]).astype({"doc_id": "int64", "text_hash": "int64", "kind": "int32"})
+
+def _found_ranges(rows: np.ndarray) -> pa.Table:
+    """Joined byte ranges under the rows' strings, per text (kind 1)."""
+    rows, cuts = _by_text(rows)
+    if len(rows) == 0:
+        return _found(1, rows, cuts, _binaries(b"", cuts))
+    # texts are lifted apart, so one running maximum joins the ranges of all of them
+    lift = np.repeat(np.arange(len(cuts) - 1, dtype=np.int64) << 33, np.diff(cuts))
+    begin = rows["start"].astype(np.int64) + lift
+    end = begin + rows["n"].astype(np.int64) - 1 + WIDTH
+    top = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.r_[True, begin[1:] > top[:-1]])
+    pairs = np.stack([begin[first], top[np.r_[first[1:] - 1, len(begin) - 1]]], axis=1) - lift[first][:, None]
+    return _found(1, rows, cuts, _binaries(pairs.astype("<u4").tobytes(), np.searchsorted(first, cuts) * 8))
 
 
 def _parse(n_buckets: int):
@@ -179,35 +203,41 @@ def _parse(n_buckets: int):
                 parts.append(rows)
             rows, first = _first_holders(np.concatenate(parts))
             own = rows["doc"] == first
-            out = [(int(doc) % n_buckets, 1, doc, text_hash, _ranges(r["start"], r["n"]).tobytes()) for doc, text_hash, r in _by_doc(rows[~own])]
+            later = _found_ranges(rows[~own])
+            if later.num_rows:
+                bucket = (later["doc_id"].to_numpy() % n_buckets).astype(np.int32)
+                yield from later.add_column(0, "bucket", pa.array(bucket)).select(arrow.names).to_batches()
             rows = rows[own]
             bucket = (rows["trigger"] % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((rows["start"], rows["text"], rows["doc"], bucket))
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(rows) else []
-            out += [(int(bucket[a]), 0, 0, 0, pack(rows[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+            out = [(int(bucket[a]), 0, 0, 0, pack(rows[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
     return run
 
 
-def _dictionary(group: pd.DataFrame) -> pd.DataFrame:
+def _dictionary(group: pa.Table) -> pa.Table:
     """Reduce side of a bucket: whole phrases with an earlier holder (kind 1), and the phrases whose
     suffixes must be put in order because their trigger has several phrases in several documents (kind 2)."""
-    out = group[group["kind"] == 1][["doc_id", "text_hash", "kind", "data"]].values.tolist()
-    rows = unpack(group[group["kind"] == 0]["data"])
+    out = [group.filter(pc.equal(group["kind"], 1)).select(["doc_id", "text_hash", "kind", "data"])]
+    rows = unpack(group.filter(pc.equal(group["kind"], 0))["data"].to_pylist())
     if len(rows):
         rows, first = _first_holders(rows)
         whole = rows["doc"] > first
-        out += [(doc, text_hash, 1, _ranges(r["start"], r["n"]).tobytes()) for doc, text_hash, r in _by_doc(rows[whole])]
+        out.append(_found_ranges(rows[whole]))
         rest = rows[~whole]
         edge = np.r_[True, rest["trigger"][1:] != rest["trigger"][:-1]]
         begins = np.flatnonzero(edge)
         lowest, highest = np.minimum.reduceat(rest["doc"], begins), np.maximum.reduceat(rest["doc"], begins)
-        open_rows = rest[(lowest < highest)[np.cumsum(edge) - 1]]
-        out += [(doc, text_hash, 2, pack(r)) for doc, text_hash, r in _by_doc(open_rows)]
-    return _found(out)
+        open_rows, cuts = _by_text(rest[(lowest < highest)[np.cumsum(edge) - 1]])
+        asked = np.empty(len(open_rows), ASKED)
+        for name in ASKED.names:
+            asked[name] = open_rows[name]
+        out.append(_found(2, open_rows, cuts, _binaries(asked.tobytes(), cuts * ASKED.itemsize)))
+    return pa.concat_tables([t.cast(arrow_schema(FOUND)) for t in out])
 
 
 CUT = "bucket int, phrases binary, cut binary"
@@ -219,24 +249,29 @@ def _cut_phrases(n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            out = []
-            for text, asked in zip(chunk["text"], chunk["asked"], strict=True):
-                rows, data = unpack(asked), text.encode()
-                bucket = (rows["trigger"] % np.uint64(n_buckets)).astype(np.int64)
-                for b in np.unique(bucket):
-                    part = rows[bucket == b]
-                    cut = b"".join([data[s : s + n - 1 + WIDTH] for s, n in zip(part["start"].tolist(), part["n"].tolist())])
-                    out.append((int(b), part.tobytes(), cut))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+            parts, cuts = [], []
+            for doc_id, text_hash, text, found in zip(chunk["doc_id"], chunk["text_hash"], chunk["text"], chunk["asked"], strict=True):
+                asked, data = np.frombuffer(b"".join(found), ASKED), text.encode()
+                rows = np.zeros(len(asked), PHRASE)
+                for name in ASKED.names:
+                    rows[name] = asked[name]
+                rows["doc"], rows["text"] = doc_id, text_hash
+                parts.append(rows)
+                cuts += [data[s : s + n - 1 + WIDTH] for s, n in zip(asked["start"].tolist(), asked["n"].tolist())]
+            rows = np.concatenate(parts)
+            bucket = (rows["trigger"] % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
+            out = [(int(bucket[order[a]]), rows[order[a:b]].tobytes(), b"".join([cuts[i] for i in order[a:b].tolist()])) for a, b in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
     return run
 
 
-def _order_suffixes(group: pd.DataFrame) -> pd.DataFrame:
+def _order_suffixes(group: pa.Table) -> pa.Table:
     """Strings of a bucket's open phrases in corpus order; those with an earlier holder, as ranges."""
-    rows = np.frombuffer(b"".join(group["phrases"]), PHRASE)
-    data = np.frombuffer(b"".join(group["cut"]), np.uint8)
+    rows = np.frombuffer(b"".join(group["phrases"].to_pylist()), PHRASE)
+    data = np.frombuffer(b"".join(group["cut"].to_pylist()), np.uint8)
     sizes = rows["n"].astype(np.int64) - 1 + WIDTH
     begin = np.cumsum(sizes) - sizes
     n = rows["n"].astype(np.int64)
@@ -260,7 +295,8 @@ def _order_suffixes(group: pd.DataFrame) -> pd.DataFrame:
     hit = np.concatenate(found) if found else np.empty(0, np.int64)
     marks = rows[owner[hit]]
     marks["start"] = marks["start"] + inside[hit]
-    return _found([(doc, text_hash, 1, _ranges(m["start"], np.ones(len(m), np.int64)).tobytes()) for doc, text_hash, m in _by_doc(marks)])
+    marks["n"] = 1
+    return _found_ranges(marks)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -269,10 +305,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(8, size // BUCKET_BYTES)
     shipped = named.mapInArrow(_parse(n_buckets), SHIPPED)
-    found = materialize(shipped.groupBy("bucket").applyInPandas(_dictionary, FOUND))
+    found = materialize(shipped.groupBy("bucket").applyInArrow(_dictionary, FOUND))
     asked = found.where("kind = 2").groupBy("doc_id", "text_hash").agg(F.collect_list("data").alias("asked"))
-    cut = named.join(asked.hint("merge"), ["doc_id", "text_hash"]).select("text", "asked").mapInArrow(_cut_phrases(n_buckets), CUT)
-    more = cut.groupBy("bucket").applyInPandas(_order_suffixes, FOUND)
+    cut = named.join(asked.hint("merge"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "asked").mapInArrow(_cut_phrases(n_buckets), CUT)
+    more = cut.groupBy("bucket").applyInArrow(_order_suffixes, FOUND)
     return found.where("kind = 1").unionByName(more).select("doc_id", "text_hash", "data")
 
 
