@@ -47,6 +47,21 @@ def brute_relief(rows, k):
     return [x / n for x in w]
 
 
+def test_knn_ties_short_bands_and_split_orders(spark):
+    rng = random.Random(5)
+    pts = [(i, f"c{rng.randrange(3)}", [float(rng.randrange(4)) for _ in range(3)]) for i in range(151)]
+    df = spark.createDataFrame(pts, "tid long, label string, v array<double>")
+    qs = df.selectExpr("tid as qid", "v")
+    for size, rows_per_task in ((16, 40), (150, 2_000_000)):
+        for own in (False, True):
+            found = knn_predict(df, qs, band_size=size, exclude_self=own, rows_per_task=rows_per_task).collect()
+            want = {
+                i: min((sum((x - y) ** 2 for x, y in zip(v, w)), j, label) for j, label, w in pts if not (own and i == j))[2]
+                for i, _, v in pts
+            }
+            assert {r["qid"]: r["prediction"] for r in found} == want
+
+
 def test_relieff_vs_bruteforce(spark):
     rnd = random.Random(9)
     data = []
