@@ -69,3 +69,14 @@ def test_empty_text_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("")
     rows, bad = read_text_table(spark, str(tmp_path))
     assert rows.count() == 0 and bad.count() == 0 and rows.columns == ["row_id", "class"]
+
+
+def test_long_arrays_count_in_broadcast_size(spark):
+    from votesel.operators.ranking import checked_broadcast
+
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    wide = spark.range(1).selectExpr("id", "transform(sequence(1, 100000), i -> sha2(string(i), 256)) AS a")
+    assert not hinted(checked_broadcast(wide, max_bytes=1_000_000))
+    assert hinted(checked_broadcast(spark.range(10), max_bytes=1_000_000))

@@ -28,11 +28,14 @@ ROWS_PER_TASK = 2_000_000
 # A side is broadcast only when its counted size is at most this many rows.
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# Rows in memory are taken as so many times the size of their compressed files.
+UNPACKED = 4
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast ``df`` only after counting it: at most ``max_rows`` rows and an estimated
-    ``max_bytes`` (rows x the schema's default row size). Otherwise it stays a shuffle join.
+    ``max_bytes`` (rows x the schema's default row size, or ``UNPACKED`` times the written files if that
+    is more: the default counts one element per array). Otherwise it stays a shuffle join.
 
     The side is written once as a table (not cached), so it is computed a single time and
     adds no cache entry that every later query would have to be matched against."""
@@ -41,7 +44,9 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_byt
     df = cut_lineage(df)
     n = df.count()
     row_bytes = max(int(df._jdf.schema().defaultSize()), 8)
-    return F.broadcast(df) if n <= max_rows and n * row_bytes <= max_bytes else df
+    file_bytes = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    small = n <= max_rows and max(n * row_bytes, UNPACKED * file_bytes) <= max_bytes
+    return F.broadcast(df) if small else df
 
 
 def hex_digits_for(max_group_rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
