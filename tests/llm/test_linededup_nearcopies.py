@@ -5,7 +5,7 @@ import numpy as np
 
 from votesel.llm.common import token_codes, tokens_of
 from votesel.llm.linededup import LEAST_WORDS, aligned_lines, dedup_lines, line_report, line_runs
-from votesel.llm.nearcopies import cells_of, components, dart_signatures, near_copies, weighted_jaccard
+from votesel.llm.nearcopies import cell_table, cells_of, components, dart_signatures, near_copies, possible, star_links, weighted_jaccard
 
 RNG = random.Random(11)
 VOCAB = [f"w{i}" for i in range(3000)]
@@ -142,3 +142,28 @@ def test_near_copies_match_brute_force(spark):
     assert {d: by[d].class_id for d, _ in docs} == {d: find(d) for d, _ in docs}
     assert by[20].text_id == 0 and by[501].text_id == 500 and by[600].kept and by[None].kept and not by[20].kept
     assert near_copies(df.limit(0)).count() == 0
+
+
+def test_links_behind_unlike_hubs_are_found(spark):
+    """Buckets whose heaviest texts are like no one, and links of members that a hub has already taken."""
+    page, other = line(100).split(), line(100).split()
+    further = page[:48] + ["x1"] * 1 + page[49:]  # like page, and like nearest
+    nearest = further[:20] + ["x2"] + further[21:]
+    texts = {1: line(90), 2: line(80), 3: line(70), 4: " ".join(other), 5: " ".join([*other[:99], "x"]), 6: " ".join(page), 7: " ".join(further), 8: " ".join(nearest)}
+    assert brute_similarity(texts[6], texts[7]) >= 0.8 and brute_similarity(texts[7], texts[8]) >= 0.8 and brute_similarity(texts[6], texts[8]) < 0.85
+    cells = cell_table(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    entries = [(0, d, 100 - d) for d in texts]  # one bucket, unlike texts first
+    links, labels = star_links(spark.createDataFrame(entries, "band long, doc_id long, weight long"), cells)
+    assert {r.doc_id: r.label for r in labels.collect()} == {4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
+    # the hub takes 7 and is not like 8 (at 0.85), which is like 7 only
+    links, labels = star_links(spark.createDataFrame([(0, 6, 9), (0, 7, 8), (0, 8, 7)], "band long, doc_id long, weight long"), cells, 0.85)
+    assert {r.doc_id: r.label for r in labels.collect()} == {6: 6, 7: 6, 8: 6}
+    assert {(r.a, r.b) for r in links.collect()} == {(6, 7), (7, 8)}
+
+
+def test_bound_keeps_every_similar_pair(spark):
+    texts = {2 * k + e: t for k in range(40) for a in [line(RNG.randint(5, 400)) + " tail" * RNG.randint(0, 20)] for e, t in enumerate((a, edited(a, RNG.choice([0.005, 0.02, 0.04, 0.3]))))}
+    cells = cell_table(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    pairs = [(2 * k, 2 * k + 1) for k in range(40)]
+    kept = {(r.a, r.b) for r in possible(spark.createDataFrame(pairs, "a long, b long"), cells).collect()}
+    assert {p for p in pairs if brute_similarity(texts[p[0]], texts[p[1]]) >= 0.8} <= kept and len(kept) < 40

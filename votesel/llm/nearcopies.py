@@ -10,10 +10,15 @@ coordinate throw on to twice that time.
 
 Signatures are cut into bands; texts that agree on a whole band are candidates. Exact copies are one class
 from the start. In each band bucket the text with the most candidates is the hub of a star of pairs (the
-original of a group of near copies shares more bands with them than they do with each other). Pairs are
-verified by exact weighted Jaccard; members that are not yet in their hub's class meet a new hub in the next
-round. Rounds go on while they find links, so no bucket is expanded into all its pairs. Components of the
-verified links are the classes.
+original of a group of near copies shares more bands with them than they do with each other). Pairs of
+different classes are verified by exact weighted Jaccard; then the hub leaves and the next ones, twice as
+many each round, meet all members that are left. A bucket is done when its members are of one class, or all
+have been hubs, so every two texts of a bucket end in one class or have been compared. Buckets of one class
+cost one star; unlike members of a bucket cost their pairs. Components of the verified links are the classes.
+
+Most unlike pairs are told from two sketches, without their texts: a sketch holds the parities of the cells'
+counts in 1024 hash classes. Two sketches differ in no more places than the texts differ in cells, which
+bounds the similarity from above; only pairs whose bound reaches the threshold are compared cell by cell.
 
 Words are runs of word characters in lower case. A text with one to four words is one shingle. Texts
 without a word and rows with null doc_id are no one's copies. Rows that repeat a doc_id count once.
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votesel.llm.common import arrow_schema, mix, text_chunks, token_codes
@@ -34,6 +39,8 @@ from votesel.session import materialize
 
 #: 20 bands of 6 coordinates: a pair at similarity 0.8 shares a band with probability 0.998, at 0.5 with 0.27.
 SHINGLE, COORDINATES, ROWS, SIMILARITY = 5, 120, 6, 0.8
+#: 64-bit words of a sketch, and the most hubs of a bucket in one round (bounds a round's pairs, not the rounds).
+SKETCH_WORDS, MOST_HUBS = 16, 512
 
 
 def cells_of(codes: np.ndarray) -> np.ndarray:
@@ -130,19 +137,39 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
 
 
+def sketch_of(cells: np.ndarray) -> np.ndarray:
+    """Parity of the number of cells in each of the hash classes, as 64-bit words."""
+    classes = 64 * SKETCH_WORDS
+    odd = np.bincount((mix(cells) % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def cell_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, cells``: the sorted cells of each text, for verification."""
-    schema = "doc_id long, cells binary"
+    """``doc_id, cells, size, sketch``: the sorted cells of each text, their number and their sketch."""
+    schema = "doc_id long, cells binary, size long, sketch array<long>"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            cells = [cells_of(token_codes(t)).tobytes() for t in chunk["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk["doc_id"], pa.int64()), pa.array(cells, pa.binary())], schema=arrow)
+            cells = [cells_of(token_codes(t)) for t in chunk["text"]]
+            sketches = pa.array([sketch_of(c) for c in cells], pa.list_(pa.int64())).cast(arrow.field("sketch").type)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk["doc_id"], pa.int64()), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array([len(c) for c in cells], pa.int64()), sketches], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
 
+def possible(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs ``(a, b)`` without those that sizes and sketches prove to be less similar than the threshold.
+
+    With d cells that only one of two texts has, the similarity is (size - d) / (size + d) for their summed
+    size; d is at least the difference of the sizes and the number of places where the sketches differ."""
+    left = cells.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    right = cells.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    odd = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
+    bound = F.greatest(odd.cast("long"), F.abs(F.col("na") - F.col("nb"))) * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6
+    return pairs.join(right, "b").join(left, "a").where(bound).select("a", "b")
+
+
 def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``(a, b)`` whose weighted Jaccard similarity reaches the threshold."""
     schema = "a long, b long"
@@ -160,34 +187,39 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
 
     left = cells.select(F.col("doc_id").alias("a"), F.col("cells").alias("ca"))
     right = cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("cb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ca", "cb").mapInArrow(run, schema)
+    return possible(pairs, cells, similarity).join(right, "b").join(left, "a").select("a", "b", "ca", "cb").mapInArrow(run, schema)
 
 
 def star_links(entries: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(a, b)``, a < b, of bucket entries ``(band, doc_id, weight)``, and their components.
 
-    Each round pairs a bucket's members with its hub (highest weight, then smallest doc_id). Members that
-    are in the hub's component leave the bucket; the others and the next hub go on. Ends when no bucket has
-    members left, or a round has verified none of its pairs."""
+    Each round pairs the members of a bucket with its hubs (highest weight, then smallest doc_id) where their
+    components differ; the hubs then leave. Members of a hub's component stay, as others may be like them and
+    not like the hub. Ends when no bucket has members of different components."""
     found = labels = None
     entries = entries.withColumn("own", F.col("doc_id"))
+    n_hubs = 1
     while True:
-        top = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "own")).alias("top")
-        hubs = entries.groupBy("band").agg(top, F.count("*").alias("n")).where("n > 1")
-        hubs = hubs.select("band", (-F.col("top.minus")).alias("hub"), F.col("top.own").alias("theirs"))
-        star = materialize(entries.join(hubs, "band").where("own <> theirs").select("band", "doc_id", "weight", "hub"))
+        mixed = entries.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("band")
+        nth = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id"))
+        hubs = entries.withColumn("nth", nth).where(F.col("nth") <= n_hubs).join(mixed, "band", "left_semi")
+        hubs = materialize(hubs.select("band", F.col("doc_id").alias("hub"), F.col("weight").alias("top"), F.col("own").alias("theirs")))
+        if hubs.isEmpty():
+            break
+        below = F.expr("weight < top OR weight = top AND doc_id > hub")
+        star = entries.join(hubs, "band").where(below & F.expr("own <> theirs"))
         pairs = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
         links = materialize(verified(pairs, cells, similarity))
-        if links.isEmpty():
-            break
-        found = links if found is None else found.unionByName(links)
-        labels = components(found)
-        own = labels.select("doc_id", F.col("label").alias("own"))
-        theirs = labels.select(F.col("doc_id").alias("hub"), F.col("label").alias("theirs"))
-        apart = star.join(own, "doc_id", "left").join(theirs, "hub", "left").withColumn("own", F.coalesce("own", "doc_id"))
-        entries = materialize(apart.where(F.col("own") != F.coalesce("theirs", "hub")).select("band", "doc_id", "weight", "own"))
+        left = entries.join(mixed, "band", "left_semi").join(hubs.select("band", F.col("hub").alias("doc_id")), ["band", "doc_id"], "left_anti")
+        if labels is None or not links.isEmpty():
+            found = links if found is None else found.unionByName(links)
+            labels = components(found)
+            left = left.join(labels, "doc_id", "left").withColumn("own", F.coalesce("label", "doc_id"))
+        entries = materialize(left.select("band", "doc_id", "weight", "own"))
+        n_hubs = min(2 * n_hubs, MOST_HUBS)
     if found is None:
-        return links, components(links)
+        found = entries.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+        labels = components(found)
     return found, labels
 
 
