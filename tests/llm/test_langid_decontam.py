@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -5,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from votesel.llm.common import token_codes, tokens_of
-from votesel.llm.decontam import LEAST_SHARE, LEAST_TOKENS, BenchmarkIndex, find_leaks
+from votesel.llm.decontam import LEAST_SHARE, LEAST_TOKENS, MASKS, SPAN, BenchmarkIndex, find_leaks
 from votesel.llm.langid import START, LanguageModel, Scorer, learn_pieces, predict_languages, train_on_split
 from votesel.llm.queries import QUERIES
 
@@ -104,6 +105,32 @@ def test_substituted_leaks_are_found():
     assert found >= 490
 
 
+def test_masks_miss_no_substitutions():
+    """Every placing of as many substitutions as a stretch may have, up to twice the shortest leak less one."""
+    masks = [sum(1 << k for k, bit in enumerate(m) if bit == "1") for m in MASKS]
+    assert max(map(len, MASKS)) <= SPAN
+    for n in range(SPAN, 2 * LEAST_TOKENS):
+        equal = np.array([(1 << n) - 1 - sum(1 << i for i in c) for c in itertools.combinations(range(n), int(n * (1 - LEAST_SHARE)))])
+        hit = np.zeros(len(equal), bool)
+        for mask in masks:
+            for at in range(n - mask.bit_length() + 1):
+                hit |= equal & (mask << at) == mask << at
+        assert hit.all(), n
+
+
+def test_regular_substitutions_are_found():
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(4000)]
+    for every in range(4, 11):
+        for phase in range(every):
+            for size in (40, 200):
+                item = rng.choices(vocab, k=size)
+                leak = ["changed" if i % every == phase else w for i, w in enumerate(item)]
+                text = " ".join(rng.choices(vocab, k=20) + leak + rng.choices(vocab, k=20))
+                items = [(1, " ".join(item))]
+                assert {x[0] for x in BenchmarkIndex(items).leaks(token_codes(text))} == brute_leaks(text, items) == {1}
+
+
 def test_leaks_operator(spark):
     passage = " ".join(f"token{i}" for i in range(20))
     bench = spark.createDataFrame([(1, passage, "x"), (2, None, "x"), (3, "", "x"), (None, passage, "x"), (4, "only three words", "x"), (5, passage.replace("token", "other"), "x"), (5, passage.replace("token", "other"), "x")], "item_id long, text string, doc_id string")

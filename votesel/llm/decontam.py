@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from votesel.llm.common import arrow_schema, text_chunks, token_codes
 
-#: Three masks of span 10 and weight 6. Where one token in five of a 20-token leak is substituted at random,
-#: some window under some mask stays intact in more than 98 of 100 leaks (measured in the tests).
-MASKS = ("1101100101", "1010011011", "1110001011")
+#: Masks of weight 5. Together they miss no leak: wherever the substitutions of a stretch of 10 to 25 tokens
+#: with the least share lie, regular or not, some window under some mask is intact (the tests try them all),
+#: and of a longer stretch one half has the share as well.
+MASKS = ("111011", "1100001011", "11010101", "111000011", "11011001")
 SPAN = 10
 #: A leak: a stretch of at least this many tokens of which at least this share is equal.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.75
