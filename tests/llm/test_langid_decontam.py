@@ -131,6 +131,40 @@ def test_regular_substitutions_are_found():
                 assert {x[0] for x in BenchmarkIndex(items).leaks(token_codes(text))} == brute_leaks(text, items) == {1}
 
 
+def brute_stretches(text, items):
+    """Items with a long and equal enough stretch, over all diagonals and all their stretches."""
+    doc, out = tokens_of(text), set()
+    for item_id, t in items:
+        own = tokens_of(t)
+        least = min(LEAST_TOKENS, len(own))
+        for shift in range(-len(own) + 1, len(doc)):
+            lo, hi = max(0, -shift), min(len(own), len(doc) - shift)
+            sums = [0, *itertools.accumulate(own[i] == doc[i + shift] for i in range(lo, hi))]
+            if any(sums[b] - sums[a] >= LEAST_SHARE * (b - a) for a in range(len(sums)) for b in range(a + least, len(sums))):
+                out.add(item_id)
+    return out
+
+
+def test_substituted_excerpts_match_all_stretches():
+    rng = random.Random(10)
+    vocab = [f"w{i}" for i in range(400)]
+    found = 0
+    for _ in range(150):
+        items = [(k, " ".join(rng.choices(vocab, k=rng.randint(10, 59)))) for k in range(3)]
+        own = items[1][1].split()
+        size = rng.randint(min(10, len(own)), len(own))
+        at = rng.randint(0, len(own) - size)
+        leak = own[at : at + size]
+        for i in rng.sample(range(size), rng.choice([size // 5, size // 4, size // 4 + 1])):
+            leak[i] = "changed"
+        text = " ".join(rng.choices(vocab, k=20) + leak + rng.choices(vocab, k=20))
+        got = BenchmarkIndex(items).leaks(token_codes(text))
+        assert {x[0] for x in got} == brute_stretches(text, items)
+        assert all(n >= min(LEAST_TOKENS, len(items[k][1].split())) and same >= LEAST_SHARE * n for k, _, n, same in got)
+        found += bool(got)
+    assert 75 < found < 150
+
+
 def test_leaks_operator(spark):
     passage = " ".join(f"token{i}" for i in range(20))
     bench = spark.createDataFrame([(1, passage, "x"), (2, None, "x"), (3, "", "x"), (None, passage, "x"), (4, "only three words", "x"), (5, passage.replace("token", "other"), "x"), (5, passage.replace("token", "other"), "x")], "item_id long, text string, doc_id string")

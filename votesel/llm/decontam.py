@@ -3,8 +3,8 @@
 A seed is a mask over consecutive token positions; positions outside the mask are ignored, so two windows
 that differ only there hash alike. All windows of the benchmark are hashed under every mask; a document's
 windows are hashed the same way and joined with them. Around each hit the document and the item are laid
-side by side (no gaps) over their whole overlap, and equal tokens are counted: an overlap counts as a leak
-when its best stretch is long enough and nearly equal, whatever single tokens were substituted.
+side by side (no gaps) over their whole overlap, and equal tokens are counted: it is a leak when any stretch
+of the overlap is long enough and nearly equal, whatever single tokens were substituted.
 
 Tokens are maximal runs of word characters in lower case. Null and empty texts have no tokens and match
 nothing. Items with fewer tokens than a window are matched as a whole, by equality. Repeated rows give
@@ -31,6 +31,7 @@ MASKS = ("111011", "1100001011", "11010101", "111000011", "11011001")
 SPAN = 10
 #: A leak: a stretch of at least this many tokens of which at least this share is equal.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.75
+_PER_UNEQUAL = round(1 / (1 - LEAST_SHARE))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,23 +114,21 @@ class BenchmarkIndex:
 
 def best_stretch(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
     """(start, size, equal tokens) of the stretch with the highest sum of +1 per equal and -3 per unequal
-    token, if it is long and equal enough."""
+    token among all stretches of at least ``least`` tokens, if it is equal enough.
+
+    The sum is negative exactly where the share of equal tokens is under 3 in 4, so a stretch is found
+    whenever there is one. One pass over running sums: the best start for an end is the lowest sum at least
+    ``least`` tokens before it."""
     if len(equal) < least:
         return None
-    best, run, start, found = 0.0, 0.0, 0, (0, 0)
-    for i, same in enumerate(equal.tolist()):
-        if run <= 0:
-            run, start = 0.0, i
-        run += 1.0 if same else -3.0
-        if run > best:
-            best, found = run, (start, i + 1)
-    a, b = found
-    # substitutions may break the run near an end: the whole overlap is tried as well
-    for a, b in ((a, b), (0, len(equal))):
-        same = int(equal[a:b].sum())
-        if b - a >= least and same >= LEAST_SHARE * (b - a):
-            return a, b - a, same
-    return None
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, 1 - _PER_UNEQUAL))))
+    score = sums[least:] - np.minimum.accumulate(sums[: len(sums) - least])
+    end = int(np.argmax(score))
+    if score[end] < 0:
+        return None
+    start = end - int(np.argmin(sums[: end + 1][::-1]))
+    end += least
+    return start, end - start, int(equal[start:end].sum())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -> DataFrame:
