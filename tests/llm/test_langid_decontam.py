@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from votesel.llm.common import token_codes, tokens_of
 from votesel.llm.decontam import LEAST_SHARE, LEAST_TOKENS, MASKS, SPAN, BenchmarkIndex, find_leaks
-from votesel.llm.langid import START, LanguageModel, Scorer, learn_pieces, predict_languages, train_on_split
+from votesel.llm.langid import MAX_WORD, START, LanguageModel, Scorer, learn_pieces, predict_languages, train_on_split
 from votesel.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -67,6 +67,23 @@ def test_language_edge_cases(spark):
     assert predict_languages(docs.limit(0), train_on_split(docs.limit(0))).count() == 0
 
 
+def test_rare_language_is_learned_beside_a_large_one(spark):
+    many = spark.range(40_000).selectExpr("id AS doc_id", "'the house and the tree' AS text", "'en' AS lang")
+    few = spark.createDataFrame([(100_000 + i, "das haus und der baum", "de") for i in range(12)], "doc_id long, text string, lang string")
+    docs = many.unionByName(few)
+    model = train_on_split(docs, sample_rows=100, least_rows=50)
+    assert model.langs == ["de", "en"]
+    assert {(r.lang, r.lang_pred) for r in predict_languages(docs, model).join(docs, "doc_id").select("lang", "lang_pred").distinct().collect()} == {("de", "de"), ("en", "en")}
+
+
+def test_long_runs_of_letters_are_learned_to_their_end():
+    from collections import Counter
+
+    pieces = [START, "a", "b"]
+    logs, other = learn_pieces(Counter({"a" * MAX_WORD + "b" * 2 * MAX_WORD: 1}), pieces, rounds=2)
+    assert logs[2] > logs[1] > other
+
+
 def brute_leaks(text, items):
     """Items with a stretch of enough equal tokens on some diagonal, over all diagonals."""
     doc, out = tokens_of(text), set()

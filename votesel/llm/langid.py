@@ -33,7 +33,7 @@ from votesel.llm.common import tokenizer_path
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 UNKNOWN = "und"
-#: Longest word part scored at once; longer runs of letters are scored part by part.
+#: Longest word part learned or scored at once; longer runs of letters go part by part.
 MAX_WORD = 40
 
 
@@ -41,6 +41,11 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def parts_of(word: str) -> list[str]:
+    """The parts in which a word is learned and scored; the first has the word-start mark."""
+    return [START + word[:MAX_WORD], *(word[k : k + MAX_WORD] for k in range(MAX_WORD, len(word), MAX_WORD))]
+
+
 def public_pieces(path: str) -> list[str]:
     """Letter pieces of the vocabulary file, lower case, with their word-start mark."""
     import sentencepiece
@@ -104,10 +109,7 @@ class Scorer:
         at = len(self.index)
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        total = self.forward(START + word[:MAX_WORD])
-        for k in range(MAX_WORD, len(word), MAX_WORD):
-            total = total + self.forward(word[k : k + MAX_WORD])
-        self.table[at] = total
+        self.table[at] = sum(self.forward(part) for part in parts_of(word))
         self.index[word] = at
         return at
 
@@ -136,9 +138,12 @@ def learn_pieces(counts: Counter, pieces: list[str], rounds: int = 4, least: flo
     Expected piece counts come from forward and backward sums over all segmentations."""
     index = {p: k for k, p in enumerate(pieces)}
     longest = max((len(p) for p in pieces), default=1)
-    arcs = []  # per word: (start, stop, piece) of every piece inside, the unknown character included
+    arcs = []  # per part: (start, stop, piece) of every piece inside, the unknown character included
+    parts: Counter = Counter()
     for word, n in counts.items():
-        w = START + word[:MAX_WORD]
+        for part in parts_of(word):
+            parts[part] += n
+    for w, n in parts.items():
         own = [(i, j, k) for j in range(1, len(w) + 1) for i in range(max(0, j - longest), j) if (k := index.get(w[i:j])) is not None]
         own += [(i, i + 1, len(pieces)) for i in range(len(w))]
         arcs.append((len(w), n, sorted(own, key=lambda a: (a[1], a[0]))))
@@ -213,13 +218,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train_on_split(docs: DataFrame, vocab_path: str | None = None, sample_rows: int = 8_000) -> LanguageModel:
-    """Model from the rows outside the held-out quarter. About ``sample_rows`` labelled rows are learned
-    from: those whose id's hash falls into that share of its range (all of them if there are fewer)."""
+def train_on_split(docs: DataFrame, vocab_path: str | None = None, sample_rows: int = 8_000, least_rows: int = 2_000) -> LanguageModel:
+    """Model from the rows outside the held-out quarter. Each language is learned from about an equal part
+    of ``sample_rows`` rows, but from ``least_rows`` at least: those whose id's hash falls into that share of
+    its range (all of them if there are fewer), so no labelled language is lost however rare it is."""
     pieces = public_pieces(tokenizer_path("piece_bpe_32k.model", vocab_path))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, sample_rows / max(docs.select(F.count("lang")).first()[0], 1))
-    return learn(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))), pieces)
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    wanted = max(sample_rows / max(len(counts), 1), least_rows)
+    bounds = [F.lit(x) for lang, n in counts.items() if n > wanted for x in (lang, int(wanted / n * (1 << 30)))]
+    if bounds:
+        bound = F.coalesce(F.create_map(*bounds)[F.col("lang")], F.lit(1 << 30))
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
+    return learn(labelled, pieces)
 
 
 def predict_languages_of(docs: DataFrame, model: LanguageModel) -> DataFrame:
