@@ -68,6 +68,17 @@ def test_blocks_without_landmarks_use_density_and_neighbours():
     assert main_text(page) == f"Short title {ARTICLE} So it goes. {ARTICLE}"
 
 
+def test_unclosed_elements_leave_the_rest_of_the_page():
+    for tag in ("video", "audio", "object", "svg", "math", "canvas", "template"):
+        article = f"<article><p>{ARTICLE}</p></article>"
+        assert main_text(f"<div><{tag} class='x'></div>{article}") == ARTICLE
+        assert main_text(f"<div><{tag}></div>{article}<div><{tag.upper()}><p>{ARTICLE} inside</p></{tag}></div>") == ARTICLE
+        assert main_text(f"<{tag}><{tag}><p>{ARTICLE} inner</p></{tag}><p>{ARTICLE} outer</p></{tag}>{article}") == ARTICLE
+        assert main_text(f"<{tag} src='x'/>{article}") == ARTICLE
+    for tag in ("script", "style", "iframe", "noscript", "textarea"):
+        assert main_text(f"<{tag}><article><p>{ARTICLE}</p></article>") == ""
+
+
 def test_pages_operator_edge_cases(spark):
     rows = [(1, "u", f"<article><p>{ARTICLE}</article>", "t"), (1, "u", f"<article><p>{ARTICLE}</article>", "t"), (2, None, None, "t"), (3, "u", "", "t"), (None, "u", "<p", "t")]
     rows += [(4, "u", "<article>" + f"<p>{ARTICLE}</p>" * 3000, None), (5, "u", "plain < words & more", "t"), (6, "u", "<script>never closed <p>x", "t")]

@@ -33,6 +33,8 @@ STOP_WORDS = frozenset(
 
 #: Elements without text of their own, elements that end a block, and page furniture.
 SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video head title select option textarea button".split())
+#: Skipped elements whose content is markup: one without a closing tag doesn't take the rest of the page.
+MARKUP_INSIDE = frozenset("template svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     """address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
@@ -85,6 +87,18 @@ def _is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+def closed_elements(html: str, tag: str) -> dict[int, int]:
+    """Start of each start tag of a kind -> end of its closing tag, of the elements that are closed."""
+    found, starts = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])([^>]*)>?", html, re.I):
+        if not m[1]:
+            if not m[2].rstrip().endswith("/"):
+                starts.append(m.start())
+        elif starts:
+            found[starts.pop()] = m.end()
+    return found
+
+
 def blocks_of(html: str) -> list[Block]:
     """Blocks with text, in page order."""
     found: list[Block] = []
@@ -101,6 +115,7 @@ def blocks_of(html: str) -> list[Block]:
         parts.clear()
         linked = 0
 
+    closed: dict[str, dict[int, int]] = {}
     at, size = 0, len(html)
     while at < size:
         m = TAG.search(html, at)
@@ -124,6 +139,10 @@ def blocks_of(html: str) -> list[Block]:
             if tag in ("head",):
                 body = re.compile(r"</head\s*>|<body\b", re.I).search(html, at) if not closing else None
                 at = (body.end() if body and body[0].startswith("</") else body.start()) if body else at
+            elif not closing and tag in MARKUP_INSIDE:
+                if tag not in closed:
+                    closed[tag] = closed_elements(html, tag)
+                at = closed[tag].get(m.start(), at)
             elif not closing and not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else at if tag in ("select", "option", "button", "title") else size
