@@ -85,3 +85,23 @@ SELECT b.doc_id, len(assign) AS n_assign, len(access) AS n_access, len(hex) AS n
        sha256({_joined("base")}) AS base_sha256, {_joined("list_concat(base, coalesce(added, []))")} AS spans
 FROM b LEFT JOIN a ON a.doc_id = b.doc_id
 """
+
+RANKED_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_no,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT row_no, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS l FROM sized),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+tf AS (SELECT row_no, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT row_no, doc_id, n, unnest(ts) AS t FROM sized) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+w AS (SELECT t, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS w FROM df, totals),
+s AS (
+  SELECT item_id, row_no, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // l))))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN tf USING (t), totals GROUP BY item_id, row_no, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
+"""

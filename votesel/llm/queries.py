@@ -14,8 +14,9 @@ from votesel.llm.extract import extract_pages
 from votesel.llm.langid import predict_languages, train_on_split
 from votesel.llm.linededup import line_report
 from votesel.llm.nearcopies import near_copies
-from votesel.llm.oracles import QUALITY_SQL, SECRETS_SQL
+from votesel.llm.oracles import QUALITY_SQL, RANKED_SQL, SECRETS_SQL
 from votesel.llm.quality import quality_cascade
+from votesel.llm.ranked import ranked_search
 from votesel.llm.secrets import secret_report
 from votesel.llm.substrings import remove_repeats
 
@@ -65,6 +66,10 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
@@ -76,9 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
     "op10_linededup": op10_linededup,
+    "op11_ranked": op11_ranked,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality": QUALITY_SQL,
     "op9_secrets": SECRETS_SQL,
+    "op11_ranked": RANKED_SQL,
 }
