@@ -105,3 +105,35 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
 """
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(t ORDER BY i) AS ts FROM turns GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, ts, conv_id - conv_id % 100 AS base,
+         xor(4294967295::BIGINT, list_reduce(
+           list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 6 AS h
+  FROM own),
+convs AS (
+  SELECT c.conv_id, list_concat(coalesce(list_slice(b.ts, 1, c.h), []), list_slice(c.ts, c.h + 1, len(c.ts))) AS ts
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.base),
+prefixes AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS depth FROM convs),
+nodes AS (
+  SELECT list_slice(ts, 1, depth) AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(CASE WHEN len(ts) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends
+  FROM prefixes GROUP BY ALL),
+children AS (SELECT list_slice(p, 1, depth - 1) AS p, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own_values AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * length(n.p[n.depth].text) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN children c ON c.p = n.p AND c.depth = n.depth),
+up AS (SELECT p, saved, n_children, unnest(range(0, depth + 1)) AS d FROM own_values),
+sums AS (SELECT list_slice(p, 1, d) AS p, d AS depth, sum(saved) AS saved_tokens, count_if(n_children = 0) AS n_leaves FROM up GROUP BY ALL)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM own_values n JOIN sums s ON s.p = n.p AND s.depth = n.depth
+LEFT JOIN nodes q ON q.depth = n.depth - 1 AND q.p = list_slice(n.p, 1, n.depth - 1)
+"""

@@ -14,11 +14,12 @@ from votesel.llm.extract import extract_pages
 from votesel.llm.langid import predict_languages, train_on_split
 from votesel.llm.linededup import line_report
 from votesel.llm.nearcopies import near_copies
-from votesel.llm.oracles import QUALITY_SQL, RANKED_SQL, SECRETS_SQL
+from votesel.llm.oracles import QUALITY_SQL, RANKED_SQL, SECRETS_SQL, TRIE_SQL
 from votesel.llm.quality import quality_cascade
 from votesel.llm.ranked import ranked_search
 from votesel.llm.secrets import secret_report
 from votesel.llm.substrings import remove_repeats
+from votesel.llm.trie import prefix_trie, shared_heads, turn_lists
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,12 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the first turns of its hundred's first one."""
+    nodes = prefix_trie(shared_heads(turn_lists(table(spark, sf_dir, "conversations"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
@@ -82,10 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_linededup": op10_linededup,
     "op11_ranked": op11_ranked,
+    "op12_trie": op12_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality": QUALITY_SQL,
     "op9_secrets": SECRETS_SQL,
     "op11_ranked": RANKED_SQL,
+    "op12_trie": TRIE_SQL,
 }
