@@ -11,6 +11,7 @@ from votesel.llm.chat import chat_digests, format_chats
 from votesel.llm.common import table
 from votesel.llm.decontam import find_leaks
 from votesel.llm.extract import extract_pages
+from votesel.llm.fingerprints import edited_fingerprints
 from votesel.llm.langid import predict_languages, train_on_split
 from votesel.llm.linededup import line_report
 from votesel.llm.nearcopies import near_copies
@@ -77,6 +78,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_linededup": op10_linededup,
     "op11_ranked": op11_ranked,
     "op12_trie": op12_trie,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
