@@ -596,3 +596,52 @@ ORACLES["cfs_mean_size"] = q(
     ],
     "SELECT CAST(floor(avg(max_n)) AS BIGINT) AS cfs_mean_size, CAST(count(*) AS BIGINT) AS n_records FROM cper",
 )
+
+
+# ------------------------------------------------------------------ naive Bayes on nested subsets
+
+
+def bayes_ctes(fit: str, train: str, score: str, num: list[str], nom: list[str], subsets: str) -> list[str]:
+    """``said``: the class predicted for each row of ``score`` under each subset ``(a, idx)`` of ``subsets``,
+    every subset fitted by itself from the rows of ``train``."""
+
+    def values(src: str) -> str:
+        return (
+            f"x_{src} AS (SELECT c.row_id, c.class, c.idx, '' AS slot, CASE WHEN hi = lo THEN 0.5 ELSE (c.num - lo) / (hi - lo) END AS x FROM cells_{src} c JOIN ends USING (idx) WHERE c.num IS NOT NULL "
+            f"UNION ALL SELECT c.row_id, c.class, c.idx, c.cat, 1.0 FROM cells_{src} c JOIN kinds k ON k.idx = c.idx AND k.cat = c.cat AND k.r > 1)"
+        )
+
+    tables = list(dict.fromkeys([fit, train, score]))
+    return [
+        *[cells_cte(t, num, nom, name=f"cells_{t}", scoped=False) for t in tables],
+        f"ends AS (SELECT idx, min(num) AS lo, max(num) AS hi FROM cells_{fit} WHERE num IS NOT NULL GROUP BY idx)",
+        f"kinds AS (SELECT idx, cat, row_number() OVER (PARTITION BY idx ORDER BY count(*), cat DESC) AS r FROM cells_{fit} WHERE cat IS NOT NULL GROUP BY idx, cat)",
+        *[values(t) for t in dict.fromkeys([train, score])],
+        "slots AS (SELECT idx, '' AS slot FROM ends UNION ALL SELECT idx, cat FROM kinds WHERE r > 1)",
+        f"ranked AS (SELECT class, row_number() OVER (ORDER BY count(*) DESC, class) AS ord FROM {fit} GROUP BY class)",
+        f"priors AS (SELECT r.class, r.ord, ln(count(t.class) + 1) - ln((SELECT count(*) FROM {train}) + (SELECT count(*) FROM ranked)) AS prior FROM ranked r LEFT JOIN {train} t ON t.class = r.class GROUP BY ALL)",
+        f"sums AS (SELECT s.idx, s.slot, p.class, coalesce(sum(x.x), 0) AS s FROM slots s CROSS JOIN priors p LEFT JOIN x_{train} x ON x.idx = s.idx AND x.slot = s.slot AND x.class = p.class GROUP BY ALL)",
+        f"subsets AS ({subsets})",
+        "theta AS (SELECT u.a, s.idx, s.slot, s.class, ln(s.s + 1) - ln(sum(s.s) OVER (PARTITION BY u.a, s.class) + count(*) OVER (PARTITION BY u.a, s.class)) AS w FROM subsets u JOIN sums s USING (idx))",
+        f"likely AS (SELECT t.a, x.row_id, t.class, sum(x.x * t.w) AS l FROM x_{score} x JOIN theta t ON t.idx = x.idx AND t.slot = x.slot GROUP BY ALL)",
+        f"""said AS (
+  SELECT u.a, r.row_id, r.class AS truth, arg_max(p.class, (round(p.prior + coalesce(l.l, 0), 9), -p.ord)) AS prediction
+  FROM (SELECT DISTINCT a FROM subsets) u CROSS JOIN {score} r CROSS JOIN priors p
+  LEFT JOIN likely l ON l.a = u.a AND l.row_id = r.row_id AND l.class = p.class GROUP BY ALL)""",
+    ]
+
+
+ORACLES["classifier_complexity_nb"] = q(
+    sweep_ctes() + bayes_ctes("train", "train", "train", BAND_NUM, BAND_NOM, "SELECT c.a, t.idx FROM cands c JOIN totals t ON t.votes = 0 OR t.votes < c.a"),
+    f"SELECT CAST(a AS BIGINT) AS a, {rnd('1 - avg(CASE WHEN truth = prediction THEN 1.0 ELSE 0.0 END)')} AS complexity FROM said GROUP BY a",
+)
+ORACLES["nested_bayes"] = q(
+    [BAND] + bayes_ctes("band", "band", "band", BAND_NUM, BAND_NOM, f"SELECT a, idx FROM (SELECT unnest(range(1, {len(BAND_FEATS) + 1})) AS a), (SELECT unnest(range({len(BAND_FEATS)})) AS idx) WHERE idx < a"),
+    "SELECT a AS n_features, truth AS class, prediction, count(*) AS n FROM said GROUP BY ALL",
+)
+_FOLDED = "docfolds AS (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY row_id) - 1) % 3 AS fold FROM docs)"
+ORACLES["nb_predictions"] = q(
+    [DOC, _FOLDED, "doctrain AS (SELECT * FROM docfolds WHERE fold <> 0)", "doctest AS (SELECT * FROM docfolds WHERE fold = 0)"]
+    + bayes_ctes("docs", "doctrain", "doctest", DOC_NUM, ["lang", "source"], "SELECT 0 AS a, unnest(range(6)) AS idx"),
+    "SELECT row_id, truth, prediction FROM said",
+)

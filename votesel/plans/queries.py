@@ -559,6 +559,37 @@ def q_classifier_complexity(spark, sf):
     return classifier_complexity(bl.train, bl.attrs, totals, cands, "DT")
 
 
+def q_classifier_complexity_nb(spark, sf):
+    """Naive Bayes error of every candidate subset of the sweep, from one set of counts."""
+    from votesel.operators.models import classifier_complexity
+
+    totals, bl = band_totals(spark, sf)
+    rng = TH.vote_range(V.vote_stats(totals), False, PARTS, ROUNDS)
+    cands = TH.candidate_subsets(totals, TH.thresholds(rng))
+    return present(classifier_complexity(bl.train, bl.attrs, totals, cands, "NB"))
+
+
+def q_nested_bayes(spark, sf):
+    """Naive Bayes predictions for every row from the first 1, 2, ... features in index order, per subset the
+    rows of each (class, prediction)."""
+    from votesel.operators.bayes import bayes_model, nested_predictions
+
+    d = band(spark, sf)
+    attrs = sorted(A.typed_attributes(d), key=lambda a: a.idx)
+    said = nested_predictions(d, bayes_model(d, attrs), attrs, list(range(1, len(attrs) + 1)))
+    rows = said.select("class", F.posexplode("predictions").alias("k", "prediction"))
+    return present(rows.groupBy((F.col("k") + 1).alias("n_features"), "class", "prediction").agg(F.count("*").alias("n")))
+
+
+def q_nb_predictions(spark, sf):
+    """Naive Bayes prediction of every test row; scaling and indicators from train and test together."""
+    from votesel.operators.bayes import bayes_predict
+
+    d = FX.doc_quality(spark, sf)
+    train, test = train_test_split(d)
+    return present(bayes_predict(train, test, A.typed_attributes(d), fit_df=d).select("row_id", F.col("class").alias("truth"), "prediction"))
+
+
 # ------------------------------------------------------------------ ReliefF
 
 DOC_PARTS = 2
