@@ -11,10 +11,10 @@ coordinate throw on to twice that time.
 Signatures are cut into bands; texts that agree on a whole band are candidates. Exact copies are one class
 from the start. In each band bucket the text with the most candidates is the hub of a star of pairs (the
 original of a group of near copies shares more bands with them than they do with each other). Pairs of
-different classes are verified by exact weighted Jaccard; then the hub leaves and the next ones, twice as
-many each round, meet all members that are left. A bucket is done when its members are of one class, or all
-have been hubs, so every two texts of a bucket end in one class or have been compared. Buckets of one class
-cost one star; unlike members of a bucket cost their pairs. Components of the verified links are the classes.
+different classes are verified by exact weighted Jaccard; a second round takes the best texts of further
+classes as hubs. Texts whose bucket still holds another class meet by an exact prefix filter over their rarest
+cells, so every two texts of a bucket end in one class or are compared or proved unlike, and unlike texts of a
+crowded bucket do not cost their pairs. Components of the verified links are the classes.
 
 Most unlike pairs are told from two sketches, without their texts: a sketch holds the parities of the cells'
 counts in 1024 hash classes. Two sketches differ in no more places than the texts differ in cells, which
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votesel.llm.common import arrow_schema, mix, text_chunks, token_codes
@@ -39,8 +39,8 @@ from votesel.session import materialize
 
 #: 20 bands of 6 coordinates: a pair at similarity 0.8 shares a band with probability 0.998, at 0.5 with 0.27.
 SHINGLE, COORDINATES, ROWS, SIMILARITY = 5, 120, 6, 0.8
-#: 64-bit words of a sketch, and the most hubs of a bucket in one round (bounds a round's pairs, not the rounds).
-SKETCH_WORDS, MOST_HUBS = 16, 512
+#: 64-bit words of a sketch; hubs of a bucket in each round of stars. What is left is met by prefixes, all of it.
+SKETCH_WORDS, HUBS = 16, (1, 1)
 
 
 def cells_of(codes: np.ndarray) -> np.ndarray:
@@ -193,36 +193,77 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
 def star_links(entries: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(a, b)``, a < b, of bucket entries ``(band, doc_id, weight)``, and their components.
 
-    Each round pairs the members of a bucket with its hubs (highest weight, then smallest doc_id) where their
-    components differ; the hubs then leave. Members of a hub's component stay, as others may be like them and
-    not like the hub. Ends when no bucket has members of different components."""
+    Each round pairs the members of a bucket with its hubs where their components differ: first the text of
+    highest weight, then the best texts of other components. Texts that still share a bucket with another
+    component go through ``prefix_pairs``, which misses no pair of them at the threshold."""
     found = labels = None
-    entries = entries.withColumn("own", F.col("doc_id"))
-    n_hubs = 1
-    while True:
-        mixed = entries.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("band")
-        nth = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id"))
-        hubs = entries.withColumn("nth", nth).where(F.col("nth") <= n_hubs).join(mixed, "band", "left_semi")
-        hubs = materialize(hubs.select("band", F.col("doc_id").alias("hub"), F.col("weight").alias("top"), F.col("own").alias("theirs")))
-        if hubs.isEmpty():
-            break
-        below = F.expr("weight < top OR weight = top AND doc_id > hub")
-        star = entries.join(hubs, "band").where(below & F.expr("own <> theirs"))
+    entries = materialize(entries.withColumn("own", F.col("doc_id")))
+    for n_hubs in HUBS:
+        entries = materialize(entries.join(_mixed(entries), "band", "left_semi"))
+        leader = F.row_number().over(Window.partitionBy("band", "own").orderBy(F.desc("weight"), "doc_id"))
+        leaders = entries.withColumn("nth", leader).where("nth = 1") if labels is not None else entries
+        hubs = leaders.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id"))).where(F.col("nth") <= n_hubs)
+        hubs = hubs.select("band", F.col("doc_id").alias("hub"), F.col("own").alias("theirs"))
+        star = entries.join(hubs, "band").where("own <> theirs")
         pairs = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
         links = materialize(verified(pairs, cells, similarity))
-        left = entries.join(mixed, "band", "left_semi").join(hubs.select("band", F.col("hub").alias("doc_id")), ["band", "doc_id"], "left_anti")
-        if labels is None or not links.isEmpty():
-            found = links if found is None else found.unionByName(links)
-            labels = components(found)
-            left = left.join(labels, "doc_id", "left").withColumn("own", F.coalesce("label", "doc_id"))
-        entries = materialize(left.select("band", "doc_id", "weight", "own"))
-        n_hubs = min(2 * n_hubs, MOST_HUBS)
-    if found is None:
-        found = entries.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+        found = links if found is None else materialize(found.unionByName(links).distinct())
+        labels = components(found)
+        left = entries.drop("own").join(labels.withColumnRenamed("label", "own"), "doc_id", "left")
+        entries = materialize(left.select("band", "doc_id", "weight", F.coalesce("own", "doc_id").alias("own")))
+    rest = entries.join(_mixed(entries), "band", "left_semi").select("doc_id", "own").distinct()
+    links = materialize(verified(prefix_pairs(rest, cells, similarity), cells, similarity))
+    if not links.isEmpty():
+        found = materialize(found.unionByName(links).distinct())
         labels = components(found)
     return found, labels
 
 
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Buckets with members of different components."""
+    return entries.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("band")
+
+
+def prefix_pairs(texts: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs ``(a, b)`` of the texts ``(doc_id, own)``, different in ``own``, that may reach the threshold.
+
+    With every text's cells in one order, the rarest first, two similar texts share a cell among the first
+    ``n - ceil(s n) + 1`` of the longer and the first ``n - ceil(2 s n / (1 + s)) + 1`` of the shorter one, and
+    what is left behind their first common cell must still hold the overlap that the threshold asks. Texts that
+    are alike in a common frame only differ in their first cells and never meet. In a cell's group the texts of
+    its most frequent component are not paired with each other."""
+    schema = "doc_id long, cell long"
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, held in zip(*batch.columns, strict=True):
+                h = np.frombuffer(held.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc_id.as_py())), pa.array(h)], schema=arrow)
+
+    texts = materialize(texts.join(cells.select("doc_id", "cells", "size"), "doc_id"))
+    single = materialize(texts.select("doc_id", "cells").mapInArrow(run, schema))
+    common = single.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    # cells of one text alone come first and are only counted
+    order = Window.partitionBy("doc_id").orderBy("n", "cell")
+    shared = single.join(common, "cell").withColumn("nth", F.row_number().over(order)).withColumn("n_shared", F.count("*").over(Window.partitionBy("doc_id")))
+    placed = shared.join(texts.drop("cells"), "doc_id").withColumn("place", F.col("size") - F.col("n_shared") + F.col("nth") - 1)
+
+    def upto(share: float) -> Column:
+        return F.col("place") <= F.col("size") - F.ceil(share * F.col("size") - 1e-6)
+
+    kept = materialize(placed.where(upto(similarity)).select("cell", "doc_id", "own", "size", "place", upto(2 * similarity / (1 + similarity)).alias("early")))
+    groups = kept.groupBy("cell", "own").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.count("*").alias("n_own")).where("n_own > 1")
+    meeting = kept.join(groups.select("cell", "main"), "cell")
+    x = meeting.where("own <> main").select("cell", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "own", "size", "place", "early")])
+    y = meeting.select("cell", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "own", "size", "place", "early")])
+    shorter = F.expr("x_size < y_size OR x_size = y_size AND x_doc_id < y_doc_id")
+    fits = F.when(shorter, F.col("x_early")).otherwise(F.col("y_early")) & (F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size") - 1e-6)
+    behind = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
+    enough = behind >= similarity / (1 + similarity) * (F.col("x_size") + F.col("y_size")) - 1e-6
+    return x.join(y, "cell").where((F.col("x_own") != F.col("y_own")) & fits & enough).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``doc_id, label``: the smallest doc_id of each linked document's component.
 
