@@ -10,11 +10,11 @@ coordinate throw on to twice that time.
 
 Signatures are cut into bands; texts that agree on a whole band are candidates. Exact copies are one class
 from the start. In each band bucket the text with the most candidates is the hub of a star of pairs (the
-original of a group of near copies shares more bands with them than they do with each other). Pairs of
-different classes are verified by exact weighted Jaccard; a second round takes the best texts of further
-classes as hubs. Texts whose bucket still holds another class meet by an exact prefix filter over their rarest
-cells, so every two texts of a bucket end in one class or are compared or proved unlike, and unlike texts of a
-crowded bucket do not cost their pairs. Components of the verified links are the classes.
+original of a group of near copies shares more bands with them than they do with each other). The pairs of the
+stars are verified by exact weighted Jaccard. Texts whose bucket then still holds another class meet by an
+exact prefix filter over their rarest cells, so every two texts of a bucket end in one class, are compared, or
+are proved unlike; unlike texts of a crowded bucket do not cost their pairs. Components of the verified links
+are the classes.
 
 Most unlike pairs are told from two sketches, without their texts: a sketch holds the parities of the cells'
 counts in 1024 hash classes. Two sketches differ in no more places than the texts differ in cells, which
@@ -39,8 +39,8 @@ from votesel.session import materialize
 
 #: 20 bands of 6 coordinates: a pair at similarity 0.8 shares a band with probability 0.998, at 0.5 with 0.27.
 SHINGLE, COORDINATES, ROWS, SIMILARITY = 5, 120, 6, 0.8
-#: 64-bit words of a sketch; hubs of a bucket in each round of stars. What is left is met by prefixes, all of it.
-SKETCH_WORDS, HUBS = 16, (1, 1)
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 16
 
 
 def cells_of(codes: np.ndarray) -> np.ndarray:
@@ -193,30 +193,28 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
 def star_links(entries: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(a, b)``, a < b, of bucket entries ``(band, doc_id, weight)``, and their components.
 
-    Each round pairs the members of a bucket with its hubs where their components differ: first the text of
-    highest weight, then the best texts of other components. Texts that still share a bucket with another
-    component go through ``prefix_pairs``, which misses no pair of them at the threshold."""
-    found = labels = None
+    The text of highest weight in a bucket is paired with its members. Texts that after this share a bucket
+    with another component go through ``prefix_pairs``, which misses no pair of them at the threshold."""
     entries = materialize(entries.withColumn("own", F.col("doc_id")))
-    for n_hubs in HUBS:
-        entries = materialize(entries.join(_mixed(entries), "band", "left_semi"))
-        leader = F.row_number().over(Window.partitionBy("band", "own").orderBy(F.desc("weight"), "doc_id"))
-        leaders = entries.withColumn("nth", leader).where("nth = 1") if labels is not None else entries
-        hubs = leaders.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id"))).where(F.col("nth") <= n_hubs)
-        hubs = hubs.select("band", F.col("doc_id").alias("hub"), F.col("own").alias("theirs"))
-        star = entries.join(hubs, "band").where("own <> theirs")
-        pairs = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-        links = materialize(verified(pairs, cells, similarity))
-        found = links if found is None else materialize(found.unionByName(links).distinct())
-        labels = components(found)
-        left = entries.drop("own").join(labels.withColumnRenamed("label", "own"), "doc_id", "left")
-        entries = materialize(left.select("band", "doc_id", "weight", F.coalesce("own", "doc_id").alias("own")))
+    leader = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id"))
+    hubs = entries.withColumn("nth", leader).where("nth = 1").select("band", F.col("doc_id").alias("hub"))
+    star = entries.join(hubs, "band").where("doc_id <> hub")
+    pairs = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    found = materialize(verified(pairs, cells, similarity))
+    labels = components(found)
+    own = F.coalesce("label", "doc_id").alias("own")
+    entries = materialize(entries.drop("own").join(labels, "doc_id", "left").select("band", "doc_id", own))
     rest = entries.join(_mixed(entries), "band", "left_semi").select("doc_id", "own").distinct()
     links = materialize(verified(prefix_pairs(rest, cells, similarity), cells, similarity))
-    if not links.isEmpty():
-        found = materialize(found.unionByName(links).distinct())
-        labels = components(found)
-    return found, labels
+    if links.isEmpty():
+        return found, labels
+    # the new links are between components: only those that they touch get new labels
+    of = materialize(rest)
+    ends = links.join(of.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
+    merged = components(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    known = labels.unionByName(merged.select("doc_id", F.col("doc_id").alias("label"))).groupBy("doc_id").agg(F.min("label").alias("label"))
+    labels = known.join(merged.select(F.col("doc_id").alias("label"), F.col("label").alias("further")), "label", "left").select("doc_id", F.coalesce("further", "label").alias("label"))
+    return materialize(found.unionByName(links).distinct()), materialize(labels)
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
