@@ -41,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each near-duplicate class (and one row of each doc_id's equal texts)."""
+    """Keeps the smallest doc_id of each near-duplicate class, with all its rows if it is repeated."""
     going = near_copies(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(going, "doc_id", "left_anti").select(*docs.columns)
 
