@@ -447,6 +447,21 @@ KNN = f"""knn AS (
   FROM dfolds q JOIN dfolds t ON q.fold = 0 AND t.fold <> 0 GROUP BY q.row_id, q.class)"""
 ORACLES["knn_1nn"] = q([DOC, DOC_MM, DOC_SCALED, DOC_SPLIT, KNN], "SELECT row_id, prediction FROM knn")
 ORACLES["accuracy"] = q([DOC, DOC_MM, DOC_SCALED, DOC_SPLIT, KNN], "SELECT round(avg(CASE WHEN prediction = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM knn")
+BAND_NUM = ["qty", "qty_disc", "price", "disc", "tax", "line"]
+BAND_MM = "bmm AS (SELECT " + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in BAND_NUM) + " FROM folds)"
+BAND_SCALED = (
+    "sband AS (SELECT row_id, class, fold, flag, status, "
+    + ", ".join(f"CASE WHEN mx_{c} = mn_{c} THEN 0.5 ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) END AS {c}" for c in BAND_NUM)
+    + " FROM folds, bmm)"
+)
+#: An unequal nominal value is two unequal indicators.
+BAND_D2 = "CASE WHEN q.flag <> t.flag THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN q.status <> t.status THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + " + " + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in BAND_NUM)
+ORACLES["knn_lineitem"] = q(
+    [BAND, FOLDS, BAND_MM, BAND_SCALED],
+    f"SELECT q.row_id, arg_min(t.class, ({BAND_D2}, t.row_id)) AS prediction FROM sband q JOIN sband t ON q.fold = 0 AND t.fold <> 0 GROUP BY q.row_id",
+)
+
+
 def _order_index(col: str, name: str) -> str:
     """Values of a column by falling count, then value, from 0; ``k`` values in all."""
     return f"{name} AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS i, count(*) OVER () AS k FROM (SELECT {col} AS value, count(*) AS n FROM docs GROUP BY {col}))"

@@ -475,6 +475,22 @@ def q_knn_1nn(spark, sf):
     return present(_knn_docs(spark, sf).select(F.col("qid").alias("row_id"), "prediction"))
 
 
+def q_knn_lineitem(spark, sf):
+    """1-NN over every row of the band table: nominal values as indicators, numbers min-max scaled."""
+    from votesel.operators.knn import knn_predict
+
+    b = band(spark, sf)
+    nums = ["qty", "qty_disc", "price", "disc", "tax", "line"]
+    lows = b.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in nums], *[F.array_sort(F.collect_set(c)).alias(c) for c in ("flag", "status")]).first()
+    cols = [(F.col(c) == F.lit(value)).cast("double") for c in ("flag", "status") for value in lows[c]]
+    for c in nums:
+        lo, hi = lows[c]
+        cols.append(F.lit(0.5) if hi == lo else (F.col(c) - F.lit(lo)) / F.lit(hi - lo))
+    train, test = train_test_split(b.select("row_id", "class", F.array(*cols).alias("v")))
+    found = knn_predict(train.select(F.col("row_id").alias("tid"), F.col("class").alias("label"), "v"), test.select(F.col("row_id").alias("qid"), "v"))
+    return present(found.select(F.col("qid").alias("row_id"), "prediction"))
+
+
 def q_accuracy(spark, sf):
     p = _knn_docs(spark, sf)
     return present(p.agg(F.avg((F.col("prediction") == F.col("truth")).cast("double")).alias("accuracy")))
