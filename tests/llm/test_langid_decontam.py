@@ -192,3 +192,15 @@ def test_leaks_operator(spark):
         got = find_leaks(docs, bench, block_items=block).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in got) == want
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_items_of_few_words_leak_only_as_whole_documents():
+    index = BenchmarkIndex([(1, "Yes"), (2, "in the year"), (3, "the capital of old France")])
+
+    def leaked(text):
+        return [x[0] for x in index.leaks(token_codes(text))]
+
+    assert leaked("yes!") == [1] and leaked("In the year?") == [2]
+    assert leaked("Yes, it was in the year of the flood.") == []
+    assert leaked("He saw the capital of old France, yes.") == [3]
+    assert leaked("") == [] and leaked("the capital of old") == []

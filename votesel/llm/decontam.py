@@ -7,8 +7,9 @@ side by side (no gaps) over their whole overlap, and equal tokens are counted: i
 of the overlap is long enough and nearly equal, whatever single tokens were substituted.
 
 Tokens are maximal runs of word characters in lower case. Null and empty texts have no tokens and match
-nothing. Items with fewer tokens than a window are matched as a whole, by equality. Repeated rows give
-repeated results; an item with null id is ignored, a document with null id is reported under null.
+nothing. Items with fewer tokens than a window are matched as a whole, by equality; those under
+``LEAST_ITEM`` tokens ("Yes") are ordinary words in any text, so only a document that is the item and
+nothing else is their leak. Repeated rows give repeated results; an item with null id is ignored, a document with null id is reported under null.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MASKS = ("111011", "1100001011", "11010101", "111000011", "11011001")
 SPAN = 10
 #: A leak: a stretch of at least this many tokens of which at least this share is equal.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.75
+#: Items with fewer tokens leak only as a whole document.
+LEAST_ITEM = 5
 _PER_UNEQUAL = round(1 / (1 - LEAST_SHARE))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,6 +108,8 @@ class BenchmarkIndex:
                 if item_id not in best or key > (best[item_id][2], -best[item_id][0], best[item_id][1]):
                     best[item_id] = (lo + shift + start, size, same)
         for size in self.short_sizes:
+            if size < LEAST_ITEM and size != len(codes):
+                continue
             for p in range(len(codes) - size + 1):
                 if int(codes[p]) in self.short_first:
                     for item in self.short.get(tuple(int(c) for c in codes[p : p + size]), ()):
