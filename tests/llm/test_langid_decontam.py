@@ -195,12 +195,12 @@ def test_leaks_operator(spark):
 
 
 def test_items_of_few_words_leak_only_as_whole_documents():
-    index = BenchmarkIndex([(1, "Yes"), (2, "in the year"), (3, "the capital of old France")])
+    index = BenchmarkIndex([(1, "Yes"), (2, "the year"), (3, "capital of France")])
 
     def leaked(text):
         return [x[0] for x in index.leaks(token_codes(text))]
 
-    assert leaked("yes!") == [1] and leaked("In the year?") == [2]
-    assert leaked("Yes, it was in the year of the flood.") == []
-    assert leaked("He saw the capital of old France, yes.") == [3]
-    assert leaked("") == [] and leaked("the capital of old") == []
+    assert leaked("yes!") == [1] and leaked("The year?") == [2]
+    assert leaked("Yes, it was the year of the flood.") == []
+    assert leaked("He saw the capital of France, yes.") == [3]
+    assert leaked("") == [] and leaked("capital of") == []

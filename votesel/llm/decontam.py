@@ -33,7 +33,7 @@ SPAN = 10
 #: A leak: a stretch of at least this many tokens of which at least this share is equal.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.75
 #: Items with fewer tokens leak only as a whole document.
-LEAST_ITEM = 5
+LEAST_ITEM = 3
 _PER_UNEQUAL = round(1 / (1 - LEAST_SHARE))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
