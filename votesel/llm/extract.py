@@ -6,14 +6,22 @@ navigation, headers, footers, asides, forms, notices, adverts or comments are ba
 undecided blocks inherit the label of the nearest decided neighbour; neighbours within the same container
 count before others, and good wins a tie.
 
+A form with more than half of the page's unlinked text is the page's own layout and no furniture; so is an
+element with a furniture name that besides holds an article, a main element or a first-level heading
+(reader comments excepted). Class names that only tell a state (``with-sidebar``, ``comments-open``) name
+no furniture. On a page whose larger blocks have hardly any stop word, the language isn't listed: there
+length, link density and sentence marks alone decide.
+
 Null or empty html gives an empty text. Unclosed, crossed and unknown tags are tolerated; repeated rows
-give repeated results. Each page is one row's work, so a page is the unit of memory.
+give repeated results. Each page is one row's work, so a page is the unit of memory. The page is read once from left to right: a tag
+without its ``>`` is text, and a tag with an unclosed quote ends at the next ``>``.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +48,8 @@ BLOCKS = frozenset(
     """address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split()
 )
-FURNITURE = frozenset("nav footer aside form menu dialog search fieldset".split())
+FURNITURE = frozenset("nav footer aside menu dialog search".split())
+FORMS = frozenset("form fieldset".split())
 MAIN = frozenset("article main".split())
 FURNITURE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|side|aside|widget|cookies?|consent|gdpr|notice|alert|popup|modal|"
@@ -49,13 +58,21 @@ FURNITURE_NAMES = re.compile(
     re.I,
 )
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner|topbar)(?:$|[\s_-])", re.I)  # outside an article only
+STATE_NAMES = re.compile(r"(?:with|without|has|no|is|not|hide|show)[_-].+|.+[_-](?:open|closed|enabled|disabled|on|off|left|right|active|visible)", re.I)
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|reply|replies|disqus)(?:$|[\s_-])", re.I)
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
-TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>)", re.S)
+TAG_START = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+COMMENT_END = re.compile(r"--!?>")
+ATTRIBUTES = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"\w+")
 
+SENTENCE = re.compile(r"[.!?…。！？।؟]")
+WIDE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")  # scripts that say more per character
+MOST = 0.5  # share of the page's unlinked text that makes an element its layout
+
 SHORT, LONG, MUCH_LINK, LOW_STOP, HIGH_STOP = 70, 200, 0.3, 0.05, 0.12
 
 
@@ -67,24 +84,89 @@ class Block:
     main: int  # number of the enclosing article or main element, -1 if none
     heading: bool
     label: str = ""
+    within: int = -1  # innermost element that is furniture unless it holds most of the page, -1 if none
+
+
+@dataclass
+class Doubtful:
+    """An element that is furniture unless it holds most of the page's text."""
+
+    parent: int
+    form: bool
+    comments: bool
+    titled: bool = False  # holds an article, a main element or a first-level heading
+    unlinked: int = 0
+    furniture: bool = True
+
+
+@dataclass
+class Tag:
+    closing: bool
+    name: str  # empty for comments, declarations and character data
+    attributes: str
+    text: str  # character data
+    stop: int
+
+
+class Tags:
+    """Tags of a page from left to right. What is known to be missing is not looked for again, so the
+    work is linear in the page."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last_end = html.rfind(">")
+        self.unquoted = -1  # up to here an unclosed quote is in the way: tags end at the next ">"
+
+    def next(self, at: int) -> tuple[int, Tag] | None:
+        """Start and tag of the first tag at or after a place."""
+        html = self.html
+        while (m := TAG_START.search(html, at)) is not None:
+            after = m.end()
+            if m[1]:
+                end = COMMENT_END.search(html, after)
+                return m.start(), Tag(False, "", "", "", end.end() if end else len(html))
+            if m[2]:
+                end = html.find("]]>", after)
+                return m.start(), Tag(False, "", "", html[after : end if end >= 0 else len(html)], end + 3 if end >= 0 else len(html))
+            if after > self.last_end:
+                at = after
+                continue
+            if m[3]:
+                return m.start(), Tag(False, "", "", "", html.index(">", after) + 1)
+            stop = -1
+            if m.start() >= self.unquoted:
+                stop = ATTRIBUTES.match(html, after).end()
+                if stop >= len(html) or html[stop] != ">":
+                    self.unquoted, stop = stop, -1
+            if stop < 0:
+                stop = html.index(">", after)
+            return m.start(), Tag(bool(m[4]), m[5].lower(), html[after:stop], "", stop + 1)
+        return None
 
 
-def _is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
+def _kind(tag: str, attributes: str, in_main: bool) -> str:
+    """``furniture``, or ``form``, ``named`` or ``comments`` where the text inside has a say, or nothing."""
     if tag in FURNITURE or tag == "header" and not in_main:
-        return True
+        return "furniture"
+    kind = "form" if tag in FORMS else ""
     if "=" not in attributes and "hidden" not in attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return kind
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if FURNITURE_NAMES.search(value) or not in_main and HEADER_NAMES.search(value):
-                return True
+            for token in value.split():
+                if STATE_NAMES.fullmatch(token):
+                    continue
+                if COMMENT_NAMES.search(token):
+                    return "comments"
+                if FURNITURE_NAMES.search(token) or not in_main and HEADER_NAMES.search(token):
+                    kind = "named"
         elif name == "role":
             if value.lower() in FURNITURE_ROLES:
-                return True
+                kind = kind or ("form" if value.lower() == "form" else "named")
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-            return True
-    return False
+            return "furniture"
+    return kind
 
 
 def closed_elements(html: str, tag: str) -> dict[int, int]:
@@ -102,8 +184,11 @@ def closed_elements(html: str, tag: str) -> dict[int, int]:
 def blocks_of(html: str) -> list[Block]:
     """Blocks with text, in page order."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, int]] = []  # tag, furniture, in main, enclosing main element
-    furniture, main, links, heading, n_main = False, -1, 0, 0, 0
+    doubtful: list[Doubtful] = []
+    open_tags: list[tuple[str, bool, int, int]] = []  # tag, furniture, innermost doubtful element, enclosing main element
+    n_open: Counter = Counter()
+    outside = ("", False, -1, -1)
+    state, links, heading, n_main = outside, 0, 0, 0
     parts: list[str] = []
     linked = 0
 
@@ -111,92 +196,140 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, linked, furniture, main, heading > 0))
+            found.append(Block(text, linked, state[1], state[3], heading > 0, within=state[2]))
         parts.clear()
         linked = 0
 
-    closed: dict[str, dict[int, int]] = {}
-    at, size = 0, len(html)
-    while at < size:
-        m = TAG.search(html, at)
+    tags, closed, missing = Tags(html), {}, set()
+
+    def after_closing(pattern: str, at: int) -> re.Match | None:
+        """The next match of a pattern, which is not looked for again once it is missing."""
+        m = None if pattern in missing else re.compile(pattern, re.I).search(html, at)
         if m is None:
-            rest = html[at:]
-            parts.append(rest)
-            linked += len(rest) if links else 0
+            missing.add(pattern)
+        return m
+
+    at = 0
+    while at < len(html):
+        hit = tags.next(at)
+        raw = html[at : hit[0] if hit else len(html)]
+        parts.append(raw)
+        if links:
+            linked += len(raw.strip())
+        if hit is None:
             break
-        if m.start() > at:
-            raw = html[at : m.start()]
-            parts.append(raw)
-            if links:
-                linked += len(raw.strip())
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                parts.append(entities.escape(m[0][9:-3]))
+        start, tag = hit
+        at, name, attributes = tag.stop, tag.name, tag.attributes
+        if not name:
+            parts.append(entities.escape(tag.text))
             continue
-        closing, tag, attributes = bool(m[1]), m[2].lower(), m[3]
-        if tag in SKIPPED and tag not in VOID:
-            if tag in ("head",):
-                body = re.compile(r"</head\s*>|<body\b", re.I).search(html, at) if not closing else None
-                at = (body.end() if body and body[0].startswith("</") else body.start()) if body else at
-            elif not closing and tag in MARKUP_INSIDE:
-                if tag not in closed:
-                    closed[tag] = closed_elements(html, tag)
-                at = closed[tag].get(m.start(), at)
-            elif not closing and not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else at if tag in ("select", "option", "button", "title") else size
-            if tag in ("button", "select", "textarea"):
+        if name in SKIPPED and name not in VOID:
+            if name == "head":
+                body = None if tag.closing else after_closing(r"</head\s*>|<body\b", at)
+                at = (body.end() if body[0].startswith("</") else body.start()) if body else at
+            elif not tag.closing and name in MARKUP_INSIDE:
+                if name not in closed:
+                    closed[name] = closed_elements(html, name)
+                at = closed[name].get(start, at)
+            elif not tag.closing and not attributes.rstrip().endswith("/"):
+                end = after_closing(rf"</{name}\s*>", at)
+                at = end.end() if end else at if name in ("select", "option", "button", "title") else len(html)
+            if name in ("button", "select", "textarea"):
                 parts.append(" ")
             continue
-        if tag in BLOCKS:
+        if name in BLOCKS:
             close()
-        if tag == "a":
-            links = 0 if closing else 1
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            heading = 0 if closing else 1
-        if tag in VOID or tag not in BLOCKS and tag != "span":
+        if name == "a":
+            links = 0 if tag.closing else 1
+        elif name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            heading = 0 if tag.closing else 1
+        if name in VOID or name not in BLOCKS and name != "span":
             continue
-        if tag == "p" and not closing:  # a paragraph ends where the next begins
+        now = open_tags[-1] if open_tags else outside
+        if name == "p" and not tag.closing:  # a paragraph ends where the next begins
             while open_tags and open_tags[-1][0] == "p":
-                open_tags.pop()
-        if closing:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    del open_tags[k:]
-                    break
+                n_open[open_tags.pop()[0]] -= 1
+            now = open_tags[-1] if open_tags else outside
+        if tag.closing:
+            if n_open[name]:
+                while n_open[last := open_tags.pop()[0]] and last != name:
+                    n_open[last] -= 1
+                n_open[name] -= 1
+            now = open_tags[-1] if open_tags else outside
         else:
-            inside = main >= 0 or tag in MAIN
-            number = main
-            if tag in MAIN and main < 0:
-                number, n_main = n_main, n_main + 1
-            up = bool(open_tags) and open_tags[-1][1]
-            if tag == "span" and not _is_furniture(tag, attributes, inside):
-                open_tags.append((tag, up, inside, open_tags[-1][3] if open_tags else -1))
-                continue
-            if tag == "span":
-                close()
-            open_tags.append((tag, up or _is_furniture(tag, attributes, inside), inside, number if tag in MAIN else (open_tags[-1][3] if open_tags else -1)))
-        was = furniture
-        now = open_tags[-1] if open_tags else ("", False, False, -1)
-        if tag == "span" and was != now[1]:
+            main = now[3]
+            if name in MAIN and main < 0:
+                main, n_main = n_main, n_main + 1
+            kind = _kind(name, attributes, main >= 0)
+            within = now[2]
+            if (name in MAIN or name == "h1") and within >= 0:
+                doubtful[within].titled = True
+            if kind and kind != "furniture":
+                doubtful.append(Doubtful(within, kind == "form", kind == "comments"))
+                within = len(doubtful) - 1
+            now = (name, now[1] or kind == "furniture", within, main)
+            open_tags.append(now)
+            n_open[name] += 1
+        if name == "span" and state[1:3] != now[1:3]:
             close()
-        furniture, main = now[1], now[3]
+        state = now
     close()
+    settle(found, doubtful)
     return found
 
 
-def classify(block: Block) -> str:
+def settle(blocks: list[Block], doubtful: list[Doubtful]) -> None:
+    """Decides which doubtful elements are furniture, by their share of the page's unlinked text."""
+    total = 0
+    for b in blocks:
+        if not b.furniture:
+            total += len(b.text) - min(b.linked, len(b.text))
+            if b.within >= 0:
+                doubtful[b.within].unlinked += len(b.text) - min(b.linked, len(b.text))
+    for d in reversed(doubtful):  # inner elements follow their outer ones
+        if d.parent >= 0:
+            doubtful[d.parent].unlinked += d.unlinked
+            doubtful[d.parent].titled |= d.titled
+    for d in doubtful:
+        layout = d.unlinked > MOST * total and not d.comments and (d.form or d.titled)
+        d.furniture = not layout or d.parent >= 0 and doubtful[d.parent].furniture
+    for b in blocks:
+        b.furniture = b.furniture or b.within >= 0 and doubtful[b.within].furniture
+
+
+def decidable(block: Block) -> bool:
+    """Whether the block's own words say anything: neither furniture, nor links, nor short."""
+    return not block.furniture and not (block.main < 0 and block.linked / len(block.text) > MUCH_LINK) and weight(block.text) >= SHORT
+
+
+def weight(text: str) -> int:
+    return len(text) + 2 * len(WIDE.findall(text))
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def listed_language(blocks: list[Block]) -> bool:
+    """Whether the page's larger blocks have the stop words of a listed language."""
+    counts = [stop_words(b.text) for b in blocks if decidable(b)]
+    return not counts or sum(c[0] for c in counts) >= LOW_STOP * sum(c[1] for c in counts)
+
+
+def classify(block: Block, listed: bool = True) -> str:
     """Pass one: the block on its own."""
     if block.furniture:
         return "bad"
-    length = len(block.text)
-    if block.main < 0 and block.linked / length > MUCH_LINK:
+    if block.main < 0 and block.linked / len(block.text) > MUCH_LINK:
         return "bad"
+    length = weight(block.text)
     if length < SHORT:
         return "short"
-    words = WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    if not listed:
+        return "good" if length >= LONG and SENTENCE.search(block.text) else "near"
+    found, words = stop_words(block.text)
+    density = found / max(words, 1)
     if density >= HIGH_STOP or length >= LONG and density >= LOW_STOP:
         return "good"
     return "near" if density >= LOW_STOP else "low"
@@ -204,7 +337,8 @@ def classify(block: Block) -> str:
 
 def label_blocks(blocks: list[Block]) -> list[Block]:
     """Pass two: undecided blocks take the label of the nearest decided neighbour."""
-    labels = [classify(b) for b in blocks]
+    listed = listed_language(blocks)
+    labels = [classify(b, listed) for b in blocks]
     n = len(blocks)
     before, after = [-1] * n, [-1] * n
     last = -1
