@@ -26,18 +26,23 @@ from votesel.session import materialize
 LEAST_SCORE = 0.5
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the whole ``row``, so that no column of the documents meets an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a predicted language."""
-    found = predict_languages_of(docs, train_on_split(docs))
-    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SCORE)).select(*docs.columns)
+    found = predict_languages_of(rows_of(docs), train_on_split(docs))
+    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SCORE)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes aligned common blocks out of the later documents; a document that loses all its words goes."""
-    out = dedup_lines(docs)
+    out = dedup_lines(rows_of(docs), all_holders=True)
     left = (F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    n_chars = F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars").cast("long"))}
+    return out.where(left).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), all_holders=True)
 
 
 def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
