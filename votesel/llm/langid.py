@@ -15,9 +15,10 @@ Repeated rows give repeated results.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import uuid
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ from votesel.llm.common import tokenizer_path
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 UNKNOWN = "und"
-#: Longest word part learned or scored at once; longer runs of letters go part by part.
+#: Longest word whose sums fit a double as they are; those of longer runs of letters are rescaled on the way.
 MAX_WORD = 40
 
 
@@ -41,11 +42,6 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def parts_of(word: str) -> list[str]:
-    """The parts in which a word is learned and scored; the first has the word-start mark."""
-    return [START + word[:MAX_WORD], *(word[k : k + MAX_WORD] for k in range(MAX_WORD, len(word), MAX_WORD))]
-
-
 def public_pieces(path: str) -> list[str]:
     """Letter pieces of the vocabulary file, lower case, with their word-start mark."""
     import sentencepiece
@@ -94,22 +90,30 @@ class Scorer:
                         s3 += a3[i] * p[3]
                 a0[j], a1[j], a2[j], a3[j] = s0, s1, s2, s3
             return np.log(np.array([a0[n], a1[n], a2[n], a3[n]]) + 1e-300)
-        alpha = [np.ones(self.n)]
-        u = np.array(unknown)
-        for j in range(1, n + 1):
-            s = alpha[j - 1] * u
-            for i in range(max(0, j - longest), j):
-                p = probs.get(word[i:j])
+        return self.forward_rescaled(word)
+
+    def forward_rescaled(self, word: str, every: int = 24) -> np.ndarray:
+        """The same for a word of any length: the sums still needed are divided by the last one now and then."""
+        alpha, logs, u = deque([np.ones(self.n)], max(self.longest, 1)), np.zeros(self.n), np.array(self.unknown)
+        for j in range(1, len(word) + 1):
+            s = alpha[-1] * u
+            for k in range(1, len(alpha) + 1):
+                p = self.probs.get(word[j - k : j])
                 if p is not None:
-                    s = s + alpha[i] * np.array(p)
+                    s = s + alpha[-k] * np.array(p)
             alpha.append(s)
-        return np.log(alpha[n] + 1e-300)
+            if j % every == 0:
+                s = np.maximum(s, 1e-300)
+                logs += np.log(s)
+                for k in range(len(alpha)):
+                    alpha[k] = alpha[k] / s
+        return np.log(alpha[-1] + 1e-300) + logs
 
     def add(self, word: str) -> int:
         at = len(self.index)
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = sum(self.forward(part) for part in parts_of(word))
+        self.table[at] = self.forward(START + word) if len(word) <= MAX_WORD else self.forward_rescaled(START + word)
         self.index[word] = at
         return at
 
@@ -138,15 +142,14 @@ def learn_pieces(counts: Counter, pieces: list[str], rounds: int = 4, least: flo
     Expected piece counts come from forward and backward sums over all segmentations."""
     index = {p: k for k, p in enumerate(pieces)}
     longest = max((len(p) for p in pieces), default=1)
-    arcs = []  # per part: (start, stop, piece) of every piece inside, the unknown character included
-    parts: Counter = Counter()
+    arcs = []  # per word: (start, stop, piece) of every piece inside, the unknown character included
+    long_words = [(START + word, n) for word, n in counts.items() if len(word) > MAX_WORD]
     for word, n in counts.items():
-        for part in parts_of(word):
-            parts[part] += n
-    for w, n in parts.items():
-        own = [(i, j, k) for j in range(1, len(w) + 1) for i in range(max(0, j - longest), j) if (k := index.get(w[i:j])) is not None]
-        own += [(i, i + 1, len(pieces)) for i in range(len(w))]
-        arcs.append((len(w), n, sorted(own, key=lambda a: (a[1], a[0]))))
+        if len(word) <= MAX_WORD:
+            w = START + word
+            own = [(i, j, k) for j in range(1, len(w) + 1) for i in range(max(0, j - longest), j) if (k := index.get(w[i:j])) is not None]
+            own += [(i, i + 1, len(pieces)) for i in range(len(w))]
+            arcs.append((len(w), n, sorted(own, key=lambda a: (a[1], a[0]))))
     probs = [1.0 / len(pieces)] * len(pieces) + [1e-4]
     for _ in range(rounds):
         expected = [0.0] * (len(pieces) + 1)
@@ -159,15 +162,43 @@ def learn_pieces(counts: Counter, pieces: list[str], rounds: int = 4, least: flo
             scale = n / alpha[size] if alpha[size] > 0 else 0.0
             for i, j, k in own:
                 expected[k] += alpha[i] * probs[k] * beta[j] * scale
+        for w, n in long_words:
+            expect_long(w, n, index, longest, probs, expected)
         total = sum(expected) or 1.0
         probs = [max(e / total, least) for e in expected]
         probs[-1] = least
     return np.log(np.array(probs[:-1])), float(np.log(least))
 
 
-def learn(rows: DataFrame, pieces: list[str], sample_words: int = 30_000) -> LanguageModel:
-    """Model from labelled rows (``text, lang``). Each language is learned in a task of its own from its
-    word counts; the ``sample_words`` most frequent words (ties by word) bound the task and the driver."""
+def expect_long(w: str, n: int, index: dict[str, int], longest: int, probs: list[float], expected: list[float]) -> None:
+    """Adds the expected piece counts of a long word, in logarithms and one place at a time, so that neither
+    the numbers nor the pieces inside grow with the word."""
+    other, logs = len(probs) - 1, [math.log(p) for p in probs]
+
+    def ending(j: int) -> list[tuple[int, int]]:
+        return [(i, k) for i in range(max(0, j - longest), j) if (k := index.get(w[i:j])) is not None] + [(j - 1, other)]
+
+    def starting(i: int) -> list[tuple[int, int]]:
+        return [(j, k) for j in range(i + 1, min(len(w), i + longest) + 1) if (k := index.get(w[i:j])) is not None] + [(i + 1, other)]
+
+    def log_sum(terms: list[float]) -> float:
+        top = max(terms)
+        return top + math.log(sum(math.exp(t - top) for t in terms))
+
+    size = len(w)
+    alpha, beta = [0.0] * (size + 1), [0.0] * (size + 1)
+    for j in range(1, size + 1):
+        alpha[j] = log_sum([alpha[i] + logs[k] for i, k in ending(j)])
+    for i in range(size - 1, -1, -1):
+        own = starting(i)
+        beta[i] = log_sum([beta[j] + logs[k] for j, k in own])
+        for j, k in own:
+            expected[k] += n * math.exp(alpha[i] + logs[k] + beta[j] - alpha[size])
+
+
+def learn(rows: DataFrame, pieces: list[str]) -> LanguageModel:
+    """Model from labelled rows (``text, lang``). Each language is learned in a task of its own from the counts
+    of all its words, so the number of rows given bounds the task; the driver gets one model row per language."""
     schema = "lang string, word string, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +213,7 @@ def learn(rows: DataFrame, pieces: list[str], sample_words: int = 30_000) -> Lan
     words = rows.select("text", "lang").mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "word"], ascending=[False, True]).head(sample_words)
+        group = group.sort_values(["n", "word"], ascending=[False, True])
         logs, other = learn_pieces(Counter(dict(zip(group["word"], group["n"]))), pieces)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "logs": [logs.astype("float64").tobytes()], "other": [other]})
 
