@@ -530,6 +530,28 @@ ORACLES["relieff_weights"] = q(
     ),
 )
 
+#: Line items by (class, vector): rows of one vector have the same neighbours but for themselves, so a vector's
+#: other rows come first among its hits and any vector's ten lowest ids stand for it.
+RELIEF_LINES = [
+    BAND,
+    "lrows AS (SELECT row_id, qty, CAST(CAST(line AS BIGINT) AS VARCHAR) AS line, flag, status, class FROM band)",
+    "lrng AS (SELECT min(qty) AS mn, max(qty) AS mx, count(*) AS n FROM lrows)",
+    f"""lpts AS (SELECT class, (qty - mn) / (mx - mn) AS x, line, flag, status, count(*) AS w, min(row_id) AS pid, list_sort(list(row_id))[1:{RELIEF_K}] AS ids
+        FROM lrows, lrng GROUP BY ALL)""",
+    "lprior AS (SELECT class, sum(w) / (SELECT n FROM lrng) AS p FROM lpts GROUP BY class)",
+    """ldiff AS (SELECT a.pid, a.class AS qclass, a.w, b.class AS nclass, b.pid AS tid, b.ids, abs(a.x - b.x) AS d0, CASE WHEN a.line = b.line THEN 0.0 ELSE 1.0 END AS d1,
+        CASE WHEN a.flag = b.flag THEN 0.0 ELSE 1.0 END AS d2, CASE WHEN a.status = b.status THEN 0.0 ELSE 1.0 END AS d3 FROM lpts a JOIN lpts b ON a.pid <> b.pid)""",
+    f"lnear AS (SELECT *, round(d0 + d1 + d2 + d3, 12) AS d FROM ldiff QUALIFY row_number() OVER (PARTITION BY pid, nclass ORDER BY d, tid) <= {RELIEF_K})",
+    f"leach AS (SELECT *, CASE WHEN qclass = nclass THEN least(w - 1, {RELIEF_K}) ELSE 0 END AS z, unnest(ids) AS id FROM lnear)",
+    f"ltaken AS (SELECT * FROM leach QUALIFY row_number() OVER (PARTITION BY pid, nclass ORDER BY d, id) <= {RELIEF_K} - z)",
+    "lcnt AS (SELECT *, z + count(*) OVER (PARTITION BY pid, nclass) AS cnt FROM ltaken)",
+    """lf AS (SELECT c.*, w * CASE WHEN nclass = qclass THEN -1.0 ELSE pn.p / (1 - pq.p) END / cnt AS f
+        FROM lcnt c JOIN lprior pn ON pn.class = c.nclass JOIN lprior pq ON pq.class = c.qclass)""",
+]
+ORACLES["relieff_lineitem"] = q(
+    RELIEF_LINES, " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS idx, round(sum(f * d{i}) / (SELECT n FROM lrng), 6) AS weight FROM lf" for i in range(4))
+)
+
 # ------------------------------------------------------------------ CFS (pair SU by brute force, search unrolled)
 M_BAND = len(BAND_FEATS)
 BROWCODES = """browcodes AS (

@@ -623,4 +623,13 @@ def q_relieff_weights(spark, sf):
     return present(relieff_weights(bl, class_list(train), RELIEF_K))
 
 
+def q_relieff_lineitem(spark, sf):
+    """ReliefF weights over all line items, whose rows share few distinct vectors."""
+    from votesel.operators.relief import relieff_weights
+
+    d = materialize(FX.lineitem_nominal(spark, sf))
+    bl = Blocks(d, A.typed_attributes(d), assign=materialize(horizontal_assignment(d, 1, 1, SEED)))
+    return present(relieff_weights(bl, None, RELIEF_K).select("idx", "weight"))
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_") and callable(fn)}

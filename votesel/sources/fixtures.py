@@ -35,6 +35,12 @@ def lineitem_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 with the quantity and three nominal features: many rows share a vector."""
+    b = lineitem_band(spark, sf_dir)
+    return b.select("row_id", "qty", F.col("line").cast("bigint").cast("string").alias("line"), "flag", "status", "class")
+
+
 def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text statistics of labelled documents, class = quality."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
