@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import unicodedata
 import uuid
+from array import array
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -142,18 +143,27 @@ def learn_pieces(counts: Counter, pieces: list[str], rounds: int = 4, least: flo
     Expected piece counts come from forward and backward sums over all segmentations."""
     index = {p: k for k, p in enumerate(pieces)}
     longest = max((len(p) for p in pieces), default=1)
-    arcs = []  # per word: (start, stop, piece) of every piece inside, the unknown character included
+    # per word: (letters, count, end of its arcs); an arc is (start, stop, piece) of a piece inside, the unknown
+    # character included, and all arcs lie in three flat arrays (a tuple each takes five times the memory)
+    words, starts, stops, held = [], array("i"), array("i"), array("i")
     long_words = [(START + word, n) for word, n in counts.items() if len(word) > MAX_WORD]
     for word, n in counts.items():
         if len(word) <= MAX_WORD:
             w = START + word
             own = [(i, j, k) for j in range(1, len(w) + 1) for i in range(max(0, j - longest), j) if (k := index.get(w[i:j])) is not None]
             own += [(i, i + 1, len(pieces)) for i in range(len(w))]
-            arcs.append((len(w), n, sorted(own, key=lambda a: (a[1], a[0]))))
+            for i, j, k in sorted(own, key=lambda a: (a[1], a[0])):
+                starts.append(i)
+                stops.append(j)
+                held.append(k)
+            words.append((len(w), n, len(held)))
     probs = [1.0 / len(pieces)] * len(pieces) + [1e-4]
     for _ in range(rounds):
         expected = [0.0] * (len(pieces) + 1)
-        for size, n, own in arcs:
+        begin = 0
+        for size, n, end in words:
+            own = [*zip(starts[begin:end], stops[begin:end], held[begin:end])]
+            begin = end
             alpha, beta = [1.0] + [0.0] * size, [0.0] * size + [1.0]
             for i, j, k in own:
                 alpha[j] += alpha[i] * probs[k]
