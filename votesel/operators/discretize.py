@@ -25,12 +25,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votesel.operators.ranking import BROADCAST_MAX_ROWS, ROWS_PER_TASK, checked_broadcast, exact_running_sums, quantile_bucket
+from votesel.operators.ranking import (
+    BROADCAST_MAX_ROWS,
+    ROWS_PER_TASK,
+    checked_broadcast,
+    exact_running_sums,
+    join_few,
+    quantile_bucket,
+    sort_tasks,
+)
 from votesel.session import cut_lineage, drop_tables, loop_state, materialize
 
 TIE_DIGITS = 12
-# Cells of features of many values that one task counts and sorts.
-CELLS_PER_TASK = 1_000_000
+# With more boundaries than so many, those near the lowest entropy are looked up by runs of so many positions.
+ROWS_PER_LEVEL = 1_000_000
+RUN = 4096
 
 
 def class_list(df: DataFrame, label: str = "class") -> list[str]:
@@ -157,31 +166,48 @@ def prepare_histogram(hist: DataFrame, keys: Sequence[str], k: int, rows_per_tas
 
 
 def running_counts(
-    cells: DataFrame, keys: Sequence[str], classes: Sequence[str], rows: int, buckets: int
+    cells: DataFrame,
+    keys: Sequence[str],
+    classes: Sequence[str],
+    rows: int,
+    buckets: int,
+    spans: dict[str, tuple[int, int]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """As ``prepare_histogram``, from the cells ``keys, _bkt, value, cls`` (class index) of features of many values.
 
     Most values are rare there, so counting them before a shuffle saves nothing: the cells are shuffled once by
     ``(keys, _bkt)`` (a range of values) and counted, sorted and summed in place, then written once; what the lower
-    ranges hold is added on reading. ``rows``: how many cells there are about.
+    ranges hold is added on reading. ``rows``: how many cells there are about. ``spans``: least value and number of
+    values of every key, if those are integers; keys and range then travel as the digits of one number.
     """
     keys = list(keys)
     k = len(classes)
     counts = [f"n{i}" for i in range(k)]
-    tasks = math.ceil(rows / CELLS_PER_TASK)
-    many = [tasks] if tasks > int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
-    placed = cells.repartition(*many, *keys, "_bkt")
-    hist = placed.groupBy(*keys, "_bkt", "value").agg(*[F.count_if(F.col("cls") == i).alias(c) for i, c in enumerate(counts)])
-    w = Window.partitionBy(*keys, "_bkt").orderBy("value")
+    groups, back = [*keys, "_bkt"], [*keys, "_bkt"]
+    if spans is not None:
+        spans = {**spans, "_bkt": (0, buckets)}
+        packed, radix, back = F.lit(0).cast("bigint"), 1, []
+        for c in groups:
+            low, size = spans[c]
+            packed = packed + (F.col(c) - F.lit(low)) * F.lit(radix).cast("bigint")
+            back.append(f"CAST((_g DIV {radix}L) % {size}L + {low} AS {dict(cells.dtypes)[c]}) AS {c}")
+            radix *= size
+        if radix < 2**62:
+            cells, groups = cells.select(packed.alias("_g"), "value", "cls"), ["_g"]
+        else:
+            back = groups
+    placed = cells.repartition(*sort_tasks(cells, rows), *groups)
+    hist = placed.groupBy(*groups, "value").agg(*[F.count_if(F.col("cls") == i).alias(c) for i, c in enumerate(counts)])
+    w = Window.partitionBy(*groups).orderBy("value")
     up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = materialize(hist.select("*", *[F.sum(c).over(up_to).alias(f"c{c}") for c in counts], F.row_number().over(w).cast("bigint").alias("dpos")))
-    ends = materialize(cum.groupBy(*keys, "_bkt").agg(*[F.max(c).alias(c) for c in ["dpos", *[f"c{c}" for c in counts]]]))
+    sums = ["dpos", *[f"c{c}" for c in counts]]
+    ends = materialize(cum.groupBy(*groups).agg(*[F.max(c).alias(c) for c in sums])).selectExpr(*groups, *[b for b in back if b not in groups], *sums)
     if buckets > 1:
         below = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-        sums = ["dpos", *[f"c{c}" for c in counts]]
-        offsets = ends.select(*keys, "_bkt", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"_{c}") for c in sums])
-        cum = cum.join(checked_broadcast(offsets), [*keys, "_bkt"]).withColumns({c: F.col(c) + F.col(f"_{c}") for c in sums})
-    cum = cum.selectExpr(*keys, "value", "dpos", *counts, *[f"cn{i}" for i in range(k)], "CAST(0 AS BIGINT) AS node")
+        offsets = ends.select(*groups, *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"_{c}") for c in sums])
+        cum = cum.join(checked_broadcast(offsets), groups).withColumns({c: F.col(c) + F.col(f"_{c}") for c in sums})
+    cum = cum.selectExpr(*back, "value", "dpos", *counts, *[f"cn{i}" for i in range(k)], "CAST(0 AS BIGINT) AS node").drop("_bkt")
     roots = ends.groupBy(*keys).agg(F.sum("dpos").alias("hi_d"), *[F.sum(f"cn{i}").alias(f"hi{i}") for i in range(k)])
     return cum, roots.selectExpr(*keys, *_root_columns(k))
 
@@ -214,38 +240,64 @@ def mdl_discretize(
     return mdl_levels(cum, roots, keys, k, better_encoding, max_depth)
 
 
-def mdl_levels(
-    cum: DataFrame, roots: DataFrame, keys: Sequence[str], k: int, better_encoding: bool = True, max_depth: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``mdl_discretize`` from running class counts and root intervals."""
+def near_lowest(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The open rows whose run of ``RUN`` positions holds (nearly) the lowest entropy of their interval.
+
+    The entropy of every boundary is computed once, for the lowest per run: the best boundaries are then found
+    among the few runs left, without a second look at all."""
+    keys = [*keys, "node"]
+    run = F.expr(f"dpos DIV {RUN}").alias("_run")
+    lows = materialize(candidates_from(rows, keys[:-1], k).groupBy(*keys, run).agg(F.min("e").alias("_low")))
+    least = lows.groupBy(*keys).agg(F.min("_low").alias("_least"))
+    near = materialize(lows.join(least, keys).where(F.col("_low") <= F.col("_least") + 2 * 10.0**-TIE_DIGITS).select(*keys, "_run"))
+    rows = rows.withColumn("_run", run)
+    few = near.count() <= BROADCAST_MAX_ROWS
+    return materialize((join_few(rows, near, [*keys, "_run"]) if few else rows.join(near, [*keys, "_run"])).drop("_run"))
+
+
+def _with_intervals(rows: DataFrame, intervals: DataFrame, on: Sequence[str], n: int) -> DataFrame:
+    """The rows of ``n`` intervals with what the intervals hold."""
+    return join_few(rows, intervals, on) if n <= BROADCAST_MAX_ROWS else rows.join(intervals, list(on))
+
+
+def mdl_cuts(
+    cum: DataFrame,
+    roots: DataFrame,
+    keys: Sequence[str],
+    k: int,
+    better_encoding: bool = True,
+    max_depth: int | None = None,
+    rows_per_level: int = ROWS_PER_LEVEL,
+) -> DataFrame:
+    """``keys, cut, depth`` of the accepted boundaries and ``cn*``, the class counts up to them, from running class
+    counts and root intervals."""
     keys = list(keys)
     spark = cum.sparkSession
     cut_parts, cached, tables = [], [], []
     depth = 0
     # every open row carries its interval bounds, so a level is one aggregate + one join
     roots = cut_lineage(roots)
-    n_open = roots.count()
-    active = cum.join(F.broadcast(roots) if n_open <= BROADCAST_MAX_ROWS else roots, [*keys, "node"])
+    n_open, n_rows = roots.agg(F.count(F.lit(1)), F.coalesce(F.sum("hi_d"), F.lit(0))).first()
+    active = _with_intervals(cum, roots, [*keys, "node"], n_open)
     counts = [f"n{i}" for i in range(k)] + [f"cn{i}" for i in range(k)]
     while True:
         depth += 1
         if max_depth is not None and depth > max_depth:
             break
-        best = mdl_best(candidates_from(active, keys, k), keys, k, better_encoding, n_open)
+        near = near_lowest(active, keys, k) if n_rows > rows_per_level else active
+        best = mdl_best(candidates_from(near, keys, k), keys, k, better_encoding, n_open)
         acc = best.where("accepted").persist()
-        n_acc = acc.count()
+        n_acc, n_rows = acc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("hi_d") - F.col("lo_d")), F.lit(0))).first()
         if n_acc == 0:
             acc.unpersist()
             break
         n_open = 2 * n_acc
         cached.append(acc)
-        cut_parts.append(acc.select(*keys, "cut", F.lit(depth).alias("depth")))
+        cut_parts.append(acc.selectExpr(*keys, "cut", f"{depth} AS depth", *[f"lo{i} + l{i} AS cn{i}" for i in range(k)]))
         split = acc.selectExpr(*keys, "node", "dpos AS _cd", *[f"l{i} AS _l{i}" for i in range(k)])
-        if n_acc <= BROADCAST_MAX_ROWS:  # size known from the count above
-            split = F.broadcast(split)
         right = "(dpos > _cd)"
         active = loop_state(
-            active.join(split, [*keys, "node"]).selectExpr(
+            _with_intervals(active, split, [*keys, "node"], n_acc).selectExpr(
                 *keys,
                 "value",
                 "dpos",
@@ -264,13 +316,22 @@ def mdl_levels(
         for c in cut_parts[1:]:
             cuts = cuts.unionByName(c)
     else:
-        cuts = spark.createDataFrame([], cum.select(*keys).schema).select(
-            *keys, F.lit(None).cast("double").alias("cut"), F.lit(None).cast("int").alias("depth")
+        cuts = spark.createDataFrame([], cum.select(*keys, *[f"cn{i}" for i in range(k)]).schema).select(
+            *keys, F.lit(None).cast("double").alias("cut"), F.lit(None).cast("int").alias("depth"), *[f"cn{i}" for i in range(k)]
         )
     cuts = cut_lineage(cuts)  # independent of the cached accepted rows and level tables, which can now go
     for c in cached:
         c.unpersist()
     drop_tables(spark, tables)
+    return cuts
+
+
+def mdl_levels(
+    cum: DataFrame, roots: DataFrame, keys: Sequence[str], k: int, better_encoding: bool = True, max_depth: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``mdl_discretize`` from running class counts and root intervals."""
+    keys = list(keys)
+    cuts = mdl_cuts(cum, roots, keys, k, better_encoding, max_depth).select(*keys, "cut", "depth")
     cut_sets = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     coded = cum.join(checked_broadcast(cut_sets), keys, "left").select(
         *keys,
@@ -281,6 +342,16 @@ def mdl_levels(
     return coded, cuts
 
 
+def interval_counts(cuts: DataFrame, roots: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """``keys, code, n*``: class counts of the intervals between the cuts of ``mdl_cuts``, without reading the histogram."""
+    keys = list(keys)
+    ends = roots.selectExpr(*keys, "CAST(NULL AS DOUBLE) AS cut", *[f"hi{i} AS cn{i}" for i in range(k)])
+    w = Window.partitionBy(*keys).orderBy(F.col("cut").asc_nulls_last())
+    steps = cuts.select(*keys, "cut", *[f"cn{i}" for i in range(k)]).unionByName(ends)
+    here = [(F.col(f"cn{i}") - F.coalesce(F.lag(f"cn{i}").over(w), F.lit(0))).alias(f"n{i}") for i in range(k)]
+    return steps.select(*keys, (F.row_number().over(w) - 1).alias("code"), *here)
+
+
 def code_of(x: Column, cuts: Column) -> Column:
     """0-based interval index of ``x`` given sorted boundaries (``x <= cut`` is left)."""
     return F.coalesce(F.size(F.filter(cuts, lambda c: x > c)), F.lit(0))

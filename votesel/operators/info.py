@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votesel.operators.discretize import mdl_levels, prepare_histogram, value_histogram
+from votesel.operators.discretize import interval_counts, mdl_cuts, prepare_histogram, value_histogram
 from votesel.session import materialize
 
 
@@ -57,7 +57,7 @@ def nominal_contingency(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def histogram_contingency(coded: DataFrame, keys: Sequence[str], classes: Sequence[str]) -> DataFrame:
-    """Contingency ``keys, idx, code, class, n`` of discretized numeric features, from the coded histogram."""
+    """Contingency ``keys, idx, code, class, n`` of discretized numeric features, from the counts of coded values or intervals."""
     k = len(classes)
     per = coded.groupBy(*keys, "idx", F.col("code").cast("string").alias("code")).agg(
         *[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]
@@ -88,10 +88,10 @@ def feature_class_contingency(
     cum, roots = prepare_histogram(hist, gkeys, len(classes))
     if running is not None:
         cum, roots = cum.unionByName(running[0]), roots.unionByName(running[1])
-    coded, cuts = mdl_levels(cum, roots, gkeys, len(classes), better_encoding)
-    ct_num = histogram_contingency(coded, keys, classes)
+    cuts = mdl_cuts(cum, roots, gkeys, len(classes), better_encoding)
+    ct_num = histogram_contingency(interval_counts(cuts, roots, gkeys, len(classes)), keys, classes)
     ct = ct_num.unionByName(nominal_contingency(nom, keys))
-    return materialize(ct), cuts
+    return materialize(ct), cuts.select(*gkeys, "cut", "depth")
 
 
 def info_gain(ct: DataFrame, keys: Sequence[str]) -> DataFrame:

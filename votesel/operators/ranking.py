@@ -27,6 +27,8 @@ from votesel.functions.exprs import hex_bucket
 ROWS_PER_TASK = 2_000_000
 # A side is broadcast only when its counted size is at most this many rows.
 BROADCAST_MAX_ROWS = 2_000_000
+# Rows that one task sorts after a shuffle.
+ROWS_PER_SORT = 1_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 # Rows in memory are taken as so many times the size of their compressed files.
 UNPACKED = 4
@@ -49,6 +51,25 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_byt
     return F.broadcast(df) if small else df
 
 
+def join_few(rows: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``rows`` inner joined on ``on`` with a table small enough to be broadcast.
+
+    One number, a hash of the columns, is looked up per row and the columns are compared on a match: cheaper for
+    many rows than looking up several columns."""
+    held = few.select(F.xxhash64(*on).alias("_k2"), *[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in few.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_on_{c}"))
+    found = (F.col("_k") == F.col("_k2")) & F.when(same, True).otherwise(False)
+    return rows.withColumn("_k", F.xxhash64(*on)).join(F.broadcast(held), found).drop("_k", "_k2", *[f"_on_{c}" for c in on])
+
+
+def sort_tasks(df: DataFrame, rows: int) -> list[int]:
+    """The number of tasks that sort ``rows`` rows, if the session's number of shuffle partitions is too small."""
+    tasks = math.ceil(rows / ROWS_PER_SORT)
+    return [tasks] if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def hex_digits_for(max_group_rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
     """Hex digits of an md5 prefix so that one (group, bucket) stays under ``rows_per_task``."""
     if max_group_rows <= rows_per_task:
@@ -76,18 +97,24 @@ def exact_row_number(
     order: Sequence[Column],
     bucket: Column | None,
     out: str = "rn",
+    offsets: DataFrame | None = None,
+    rows: int = 0,
 ) -> DataFrame:
     """Add ``out`` = row_number() over (partition by keys order by order), bucketed.
 
-    ``bucket`` must be non-decreasing in ``order`` inside each group (``None`` = one bucket).
+    ``bucket`` must be non-decreasing in ``order`` inside each group (``None`` = one bucket). ``offsets``: as of
+    ``bucket_offsets``, if known; ``rows``: how many there are, if known.
     """
     keys = list(keys)
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w))
     b = df.withColumn("_bkt", bucket)
-    offsets = checked_broadcast(bucket_offsets(b, keys, []))
+    offsets = checked_broadcast(bucket_offsets(b, keys, []) if offsets is None else offsets)
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    many = sort_tasks(df, rows)
+    if many:
+        b = b.repartition(*many, *keys, "_bkt")
     return (
         b.join(offsets, [*keys, "_bkt"])
         .withColumn(out, F.row_number().over(w) + F.col("_off_n"))

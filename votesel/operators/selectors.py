@@ -115,8 +115,12 @@ class Blocks:
         cls = F.array_position(F.array(*map(F.lit, classes)), F.col("class")).cast("int") - 1
         return self.values().select("round", "part", cls.alias("cls"), F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
-    def rounds(self) -> int:
-        return self.blocks().select("round").distinct().count()
+    def spans(self) -> dict[str, tuple[int, int]]:
+        """Least value and number of values up to the greatest of the scopes' rounds and parts and the feature index."""
+        row = (0, 0, 0, 0) if self.vertical else self.blocks().agg(*[f(c) for c in SCOPE for f in (F.min, F.max)]).first()
+        least = min(a.idx for a in self.attrs)
+        found = {c: (row[2 * i] or 0, (row[2 * i + 1] or 0) - (row[2 * i] or 0) + 1) for i, c in enumerate(SCOPE)}
+        return {**found, "idx": (least, max(a.idx for a in self.attrs) - least + 1)}
 
     def block_features(self, per_scope: DataFrame) -> DataFrame:
         """Attach scope-level per-feature numbers to the blocks that may use the feature."""
@@ -143,9 +147,10 @@ def class_scores(bl: Blocks, classes: Sequence[str], better_encoding: bool = Tru
     bounds, n = bl.value_ranges() if many_rows is None else bl.value_ranges(many_rows)
     running = None
     if bounds:
-        cells = n * len(bounds) * (1 if bl.vertical else bl.rounds())
+        spans = bl.spans()
+        cells = n * len(bounds) * spans["round"][1]
         most = max(map(len, bounds.values())) + 1
-        running = running_counts(bl.range_cells(bounds, classes), [*SCOPE, "idx"], classes, cells, most)
+        running = running_counts(bl.range_cells(bounds, classes), [*SCOPE, "idx"], classes, cells, most, spans)
     few = bl.cells(NUMERIC, bounds)
     if all(a.kind != NUMERIC or a.idx in bounds for a in bl.attrs):
         few = few.where(F.lit(False))

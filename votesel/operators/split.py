@@ -16,12 +16,12 @@ from votesel.functions.exprs import hash_key, hex_fraction
 from votesel.operators.attributes import Attr, column
 from votesel.operators.ranking import (
     ROWS_PER_TASK,
-    bucket_offsets,
     checked_broadcast,
     exact_row_number,
     hex_digits_for,
     md5_bucket,
     quantile_bucket,
+    sort_tasks,
 )
 from votesel.session import materialize
 
@@ -32,6 +32,8 @@ MOST_DIGITS = 3
 # Columns of at most so many values travel as codes; which have few is guessed from so many rows.
 FEW_VALUES = 1_000
 SAMPLE_ROWS = 200_000
+# Classes are counted by so many first characters of the id, for the ranks of the split.
+PREFIX = 2
 
 
 def _max_class_rows(df: DataFrame, keys: Sequence[str]) -> int:
@@ -58,11 +60,28 @@ def assign_folds(
 
     The reference numbers each class in file order and sends index % 3 == 0 to test.
     """
-    biggest = _max_class_rows(df, [label])
+    text = dict(df.dtypes)[id_col] == "string"
+    prefix = (F.substring(column(id_col), 1, PREFIX) if text else F.lit(None).cast("string")).alias("_bkt")
+    is_md5 = F.coalesce(column(id_col).rlike("^[0-9a-f]{32}$"), F.lit(True)) if text else F.lit(False)
+    counts = materialize(df.groupBy(column(label).alias("_l"), prefix).agg(F.count(F.lit(1)).alias("count"), F.bool_and(is_md5).alias("_md5")))
+    sizes = counts.groupBy("_l").agg(F.sum("count").alias("n"), F.bool_and("_md5").alias("_md5"))
+    total, biggest, md5 = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.bool_and("_md5")).first()
     b, bucket = _order_bucket(df, [label], id_col, biggest, rows_per_task)
-    ranked = exact_row_number(b, [label], [F.col(id_col)], bucket, out="_rn")
+    offsets, digits = None, hex_digits_for(biggest, rows_per_task)
+    if bucket is not None and text and digits <= PREFIX:
+        below = Window.partitionBy("_l").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        held = counts.groupBy("_l", F.substring("_bkt", 1, digits).alias("_bkt")).agg(F.sum("count").alias("n"))
+        offsets = held.select(F.col("_l").alias(label), "_bkt", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("_off_n"))
+    read = {c: column(c) for c in df.columns}
+    if md5:
+        # md5 ids travel as 16 bytes, which have the same order
+        if bucket is not None:
+            b, bucket = b.withColumn("_prefix", bucket), F.col("_prefix")
+        b = b.withColumn(id_col, F.unhex(column(id_col)))
+        read[id_col] = F.lower(F.hex(column(id_col))).alias(id_col)
+    ranked = exact_row_number(b, [label], [column(id_col)], bucket, "_rn", offsets, total)
     out = ranked.withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int"))
-    return out.select(*[column(c) for c in df.columns], "fold")
+    return out.select(*read.values(), "fold")
 
 
 def train_test_split(
@@ -142,11 +161,10 @@ def horizontal_rows(
     return deal_rows(df, parts, rounds, seed, label, id_col, rows_per_bucket)[0]
 
 
-def _few_values(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+def _few_values(df: DataFrame, cols: Sequence[str], n: int) -> dict[str, list]:
     """All values but null of the double and string columns that have few. A bounded sample proposes the columns."""
     types = dict(df.dtypes)
     cols = [c for c in cols if types[c] in ("double", "string")]
-    n = df.count()
     if not cols or not n:
         return {}
     some = df.sample(min(1.0, SAMPLE_ROWS / n), 7).agg(*[F.approx_count_distinct(column(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
@@ -186,7 +204,8 @@ def deal_rows(
         marked = df.withColumn("_x", F.xxhash64(row_id)).join(checked_broadcast(repeated.withColumn("_many", F.lit(True))), "_x", "left").drop("_x")
     # code 0 is null, code i the i-th value; the packed number has a digit per column
     packed, radix = {}, 1
-    few = _few_values(df, cols)
+    n = df.count()
+    few = _few_values(df, cols, n)
     labels = F.array(*map(F.lit, few[label])) if few.get(label) else None
     for c, values in few.items():
         if c != label and radix * (len(values) + 1) < 2**62:
@@ -202,24 +221,40 @@ def deal_rows(
     # neighbours that share most values compress well in the shuffle
     dealt = dealt.sortWithinPartitions("_p").withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     dealt = dealt.withColumn("_h", hash_key(seed, F.col("_round"), F.col("_id")))
-    kept = ["_label", *[f"_w{i}" for i in range(len(wide))]]
+    bkt = F.conv(F.substring("_h", 1, digits), 16, 10).cast("int") * F.lit(rounds + 1) + F.col("_round")
+    # bucket and class are one number where the class has a code
+    groups = {"_bkt": bkt, "_label": F.col("_label")} if labels is None else {"_g": bkt * F.lit(len(few[label]) + 1) + F.col("_label")}
+    kept = [f"_w{i}" for i in range(len(wide))]
     dealt = dealt.select(
         *kept,
+        *[value.alias(c) for c, value in groups.items()],
         "_p",
         *([F.when(F.col("_many"), F.col("_id")).alias("_id"), F.coalesce("_many", F.lit(False)).alias("_many")] if repeats else []),
-        (F.conv(F.substring("_h", 1, digits), 16, 10).cast("int") * F.lit(rounds + 1) + F.col("_round")).alias("_bkt"),
         F.conv(F.substring("_h", digits + 1, 15), 16, 10).cast("bigint").alias("_o"),
     )
-    place = F.row_number().over(Window.partitionBy("_bkt", "_label").orderBy("_o"))
+    many = sort_tasks(df, n * rounds)
+    if many:
+        dealt = dealt.repartition(*many, *groups)
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy("_o"))
     codes = [F.expr(f"CAST((_p DIV {r}L) % {size} AS INT)").alias(f"_c{i}") for i, (_, r, size) in enumerate(packed.values())]
     ranked = dealt.withColumn("_rn", F.pmod(place - 1, F.lit(parts)).cast("int"))
-    ranked = materialize(ranked.select(*kept, *codes, "_bkt", "_rn", *(["_id", "_many"] if repeats else [])))
-    ranked = ranked.withColumn("_round", F.pmod("_bkt", F.lit(rounds + 1)))
-    offsets = bucket_offsets(ranked, ["_round", "_label"], []).select(
-        F.col("_label").alias("_l"), F.col("_bkt").alias("_b"), F.pmod("_off_n", F.lit(parts)).cast("int").alias("_off")
+    ranked = materialize(ranked.select(*kept, *codes, *groups, "_rn", *(["_id", "_many"] if repeats else [])))
+    if labels is not None:
+        split = {"_bkt": f"CAST(_g DIV {len(few[label]) + 1} AS INT)", "_label": f"_g % {len(few[label]) + 1}"}
+    else:
+        split = {c: c for c in groups}
+    held = ranked.groupBy(*groups).count().selectExpr("count", *[c for c in groups if c not in split], *[f"{e} AS {c}" for c, e in split.items()])
+    held = held.withColumn("_round", F.pmod("_bkt", F.lit(rounds + 1)))
+    below = Window.partitionBy("_round", "_label").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(
+        *[F.col(c).alias(f"_of{c}") for c in groups], F.pmod(F.coalesce(F.sum("count").over(below), F.lit(0)), F.lit(parts)).cast("int").alias("_off")
     )
-    same = (F.col("_b") == F.col("_bkt")) & F.col("_l").eqNullSafe(F.col("_label"))
+    # an equality that holds for nulls looks up two columns, so it is kept for classes without a code
+    same = F.lit(True)
+    for c in groups:
+        same = same & (F.col(c).eqNullSafe(F.col(f"_of{c}")) if c == "_label" else F.col(c) == F.col(f"_of{c}"))
     out = ranked.join(checked_broadcast(offsets), same).withColumn("_part", ((F.col("_rn") + F.col("_off")) % parts).cast("int"))
+    out = out.withColumns({c: F.expr(e) for c, e in split.items()}).withColumn("_round", F.pmod("_bkt", F.lit(rounds + 1)))
     place = [F.col("_round").alias("round"), F.col("_part").alias("part")]
     back = F.col("_label") if labels is None else F.when(F.col("_label") > 0, F.get(labels, F.col("_label") - 1))
     read = {label: back, **{c: F.col(f"_w{i}") for i, c in enumerate(wide)}}
