@@ -1,5 +1,8 @@
 import math
 import random
+import signal
+
+import pytest
 
 from votesel.operators.discretize import mdl_discretize, value_histogram
 
@@ -83,3 +86,23 @@ def test_noise_column_has_no_cut(spark):
     rnd = random.Random(11)
     pts = [(rnd.random(), rnd.randrange(2)) for _ in range(200)]
     assert _run(spark, pts, 2) == []
+
+
+@pytest.fixture
+def deadline():
+    """Planning cannot be interrupted: the call to the driver is."""
+
+    def late(*_):
+        raise TimeoutError("planning did not end")
+
+    old = signal.signal(signal.SIGALRM, late)
+    signal.alarm(150)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, old)
+
+
+def test_ten_classes(spark, deadline):
+    rnd = random.Random(5)
+    pts = [(rnd.randint(0, 20) + 15 * (c := rnd.randrange(10)), c) for _ in range(400)]
+    assert _run(spark, pts, 10) == [float(x) for x in brute_mdl(pts, 10)]

@@ -95,6 +95,11 @@ def candidates_from(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return lr.selectExpr("*", f"{e} AS e")
 
 
+def boundary_fields(k: int) -> list[str]:
+    """What a boundary is chosen and split by."""
+    return ["value", "dpos", "e", "lo_d", "hi_d", "nl", "nr"] + [f"{p}{i}" for p in ("l", "r", "lo") for i in range(k)]
+
+
 def mdl_best(
     cands: DataFrame, keys: Sequence[str], k: int, better_encoding: bool = True, intervals: int | None = None
 ) -> DataFrame:
@@ -104,7 +109,7 @@ def mdl_best(
     with C the number of candidate boundaries (distinct values - 1 with the better
     encoding, n - 1 otherwise). ``intervals``: how many are open at most, if known.
     """
-    fields = ["value", "dpos", "e", "lo_d", "hi_d", "nl", "nr"] + [f"{p}{i}" for p in ("l", "r", "lo") for i in range(k)]
+    fields = boundary_fields(k)
     # the lowest entropy is a number, so a hash aggregate finds it; only rows that may round to it are rounded and sorted
     low = cands.groupBy(*keys, "node").agg(F.min("e").alias("_low"))
     if intervals is not None and intervals <= BROADCAST_MAX_ROWS:
@@ -273,7 +278,8 @@ def mdl_cuts(
     counts and root intervals."""
     keys = list(keys)
     spark = cum.sparkSession
-    cut_parts, cached, tables = [], [], []
+    cut_parts, tables = [], []
+    before, level = [], []  # the rows of the last level, those of the next
     depth = 0
     # every open row carries its interval bounds, so a level is one aggregate + one join
     roots = cut_lineage(roots)
@@ -285,14 +291,17 @@ def mdl_cuts(
         if max_depth is not None and depth > max_depth:
             break
         near = near_lowest(active, keys, k) if n_rows > rows_per_level else active
-        best = mdl_best(candidates_from(near, keys, k), keys, k, better_encoding, n_open)
-        acc = best.where("accepted").persist()
+        # written: joined with their own lowest entropy as a plan, the optimizer rewrites the entropy's terms with every
+        # alias per class, which doubles with each and fills the driver at ten classes
+        found: list = []
+        cands = cut_lineage(candidates_from(near, keys, k).select(*keys, "node", *boundary_fields(k)), found)
+        best = mdl_best(cands, keys, k, better_encoding, n_open)
+        acc = cut_lineage(best.where("accepted"), tables)
+        drop_tables(spark, found)
         n_acc, n_rows = acc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("hi_d") - F.col("lo_d")), F.lit(0))).first()
         if n_acc == 0:
-            acc.unpersist()
             break
         n_open = 2 * n_acc
-        cached.append(acc)
         cut_parts.append(acc.selectExpr(*keys, "cut", f"{depth} AS depth", *[f"lo{i} + l{i} AS cn{i}" for i in range(k)]))
         split = acc.selectExpr(*keys, "node", "dpos AS _cd", *[f"l{i} AS _l{i}" for i in range(k)])
         right = "(dpos > _cd)"
@@ -309,8 +318,10 @@ def mdl_cuts(
                 *[f"CASE WHEN {right} THEN hi{i} ELSE lo{i} + _l{i} END AS hi{i}" for i in range(k)],
             ),
             depth,
-            tables,
+            level,
         )
+        drop_tables(spark, before)
+        before, level = level, []
     if cut_parts:
         cuts = cut_parts[0]
         for c in cut_parts[1:]:
@@ -319,10 +330,8 @@ def mdl_cuts(
         cuts = spark.createDataFrame([], cum.select(*keys, *[f"cn{i}" for i in range(k)]).schema).select(
             *keys, F.lit(None).cast("double").alias("cut"), F.lit(None).cast("int").alias("depth"), *[f"cn{i}" for i in range(k)]
         )
-    cuts = cut_lineage(cuts)  # independent of the cached accepted rows and level tables, which can now go
-    for c in cached:
-        c.unpersist()
-    drop_tables(spark, tables)
+    cuts = cut_lineage(cuts)  # independent of the accepted rows and level tables, which can now go
+    drop_tables(spark, tables + before)
     return cuts
 
 
