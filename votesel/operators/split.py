@@ -128,10 +128,38 @@ def horizontal_assignment(
         return keys.select("round", part.cast("int").alias("part"), "row_id")
     if mode != "rank":
         raise ValueError(f"unknown partition mode {mode!r}")
-    biggest = _max_class_rows(df, [label])
-    bucket = md5_bucket(F.col("_h"), biggest)
-    ranked = exact_row_number(keys, ["round", "class"], [F.col("_h")], bucket, out="_rn")
-    return ranked.select("round", F.pmod(F.col("_rn") - 1, F.lit(parts)).cast("int").alias("part"), "row_id")
+    return _ranked_assignment(df.select(column(id_col).alias("row_id"), column(label).alias("class")), parts, rounds, seed)
+
+
+def _ranked_assignment(ids: DataFrame, parts: int, rounds: int, seed: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``horizontal_assignment`` by rank. Every id is shuffled once per round, so it travels alone: md5 ids as 16 bytes, class
+    and round as one number; the order key is computed before the shuffle to place a row and again after it."""
+    text = dict(ids.dtypes)["row_id"] == "string"
+    is_md5 = F.coalesce(F.col("row_id").rlike("^[0-9a-f]{32}$"), F.lit(True)) if text else F.lit(False)
+    classes = materialize(ids.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.bool_and(is_md5).alias("_md5")))
+    total, biggest, md5 = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.bool_and("_md5")).first()
+    coded = materialize(classes.select(F.col("class").alias("_label"), F.monotonically_increasing_id().alias("_c")))
+    rows = ids.join(checked_broadcast(coded), F.col("class").eqNullSafe(F.col("_label")))
+    row_id = F.unhex("row_id") if md5 else F.col("row_id")
+    rows = rows.select(row_id.alias("row_id"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "_c")
+    rows = rows.select("row_id", (F.col("_c") * F.lit(rounds + 1) + F.col("round")).alias("_g"))
+    text_id = F.lower(F.hex("row_id")) if md5 else F.col("row_id")
+    key = hash_key(seed, F.pmod("_g", F.lit(rounds + 1)).cast("int"), text_id)
+    digits = hex_digits_for(biggest, rows_per_task)
+    groups, place = ["_g"], [F.col("_g")]
+    if digits:
+        groups, place = ["_g", "_bkt"], [F.col("_g"), F.substring(key, 1, digits)]
+    placed = rows.repartition(*sort_tasks(rows, total * rounds), *place)
+    if digits:
+        placed = placed.withColumn("_bkt", F.substring(key, 1, digits))
+    ranked = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*groups).orderBy(F.unhex(key))))
+    if digits:
+        held = rows.groupBy("_g", F.substring(key, 1, digits).alias("_bkt")).count()
+        below = Window.partitionBy("_g").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = held.select("_g", "_bkt", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_off"))
+        ranked = ranked.join(checked_broadcast(offsets), groups).withColumn("_rn", F.col("_rn") + F.col("_off"))
+    part = F.pmod(F.col("_rn") - 1, F.lit(parts)).cast("int")
+    return ranked.select(F.pmod("_g", F.lit(rounds + 1)).cast("int").alias("round"), part.alias("part"), text_id.alias("row_id"))
 
 
 def horizontal_partition(

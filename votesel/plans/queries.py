@@ -186,7 +186,8 @@ def q_union_train_test(spark, sf):
 
 
 def q_horizontal_partition(spark, sf):
-    return present(horizontal_assignment(band_train(spark, sf), PARTS, ROUNDS, SEED))
+    train, _ = train_test_split(band(spark, sf).select("row_id", "class"))
+    return present(horizontal_assignment(materialize(train), PARTS, ROUNDS, SEED))
 
 
 def _emb_parts(spark, sf, overlap):
